@@ -1,14 +1,18 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from lodeline.llm import exact_dedup, packing, pieces, warc
+from lodeline.llm import embedding_dedup, exact_dedup, packing, pieces, rollups, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_token_counts": rollups.op2_token_counts,
     "op3_warc": warc.op3_warc,
     "op8_pieces": pieces.op8_pieces,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_caps": embedding_dedup.op10_caps,
+    "token_rollup_words": rollups.token_rollup_words,
 }
 ORACLE_SQL = {
     "op3_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "token_rollup_words": rollups.ORACLE,
 }
