@@ -9,6 +9,8 @@ from __future__ import annotations
 import sys
 from array import array
 
+import numpy as np
+
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -29,6 +31,10 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocab = self.tokenizer.get_vocab()
+        self.closing = np.zeros(1 + max(vocab.values()), bool)
+        self.closing[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.fresh()
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are joined as little-endian 32-bit numbers")
@@ -36,44 +42,91 @@ class WordIds(dict):
     def fresh(self) -> None:
         self.clear()
         self[""] = b""
+        self.encode_words([",", "."])
 
     def encode_words(self, words: list[str]) -> None:
-        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for w, e in zip(words, fast(words, add_special_tokens=False)):
+        """Words one by one, whatever they hold."""
+        for w, e in zip(words, self._batch(words, add_special_tokens=False)):
             self[w] = array("I", e.ids).tobytes()
 
+    def encode_letters(self, words: list[str], step: int = 512) -> None:
+        """Words of letters alone: each is one piece of the pre-tokenizer, so of many joined by spaces each ends at an
+        id whose token has the word-end mark."""
+        parts = [words[k : k + step] for k in range(0, len(words), step)]
+        for part, e in zip(parts, self._batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = array("I", e.ids)
+            ends = np.flatnonzero(self.closing[np.frombuffer(ids, "<u4")]) + 1
+            if len(ends) != len(part):
+                self.encode_words(part)
+                continue
+            data, a = ids.tobytes(), 0
+            for w, b in zip(part, (4 * ends).tolist()):
+                self[w] = data[a:b]
+                a = b
+
     def add(self, texts: list[list[str]]) -> None:
         if len(self) > self.most:
             self.fresh()
-        new = set().union(*texts).difference(self)
-        tails: dict[str, tuple[str, str]] = {}
-        plain = set()
-        for w in new:
-            # A Latin-1 word of letters and one closing mark is two pieces: the letters, lower-cased, and the mark.
-            low = w.lower() if w.isalpha() and max(w) <= "\xff" else w
-            if len(w) > 1 and w[-1] in ",." and w[:-1].isalpha() and max(w) <= "\xff":
-                tails[w] = (w[:-1].lower(), w[-1])
-            elif low != w:
-                tails[w] = (low, "")
+        have = self.keys()
+        letters, others, tails = set(), [], []
+        for w in set().union(*texts) - have:
+            if w.isalpha() and w.isascii():
+                low = w.lower()
+                letters.add(low)
+                if low != w:
+                    tails.append((w, low, ""))
+            elif w[-1] in ",." and (front := w[:-1]).isalpha() and max(w) <= "\xff":
+                # Two pieces: the letters, lower-cased, and the mark.
+                front = front.lower()
+                letters.add(front)
+                tails.append((w, front, w[-1]))
+            elif w.isalpha() and max(w) <= "\xff":
+                low = w.lower()
+                letters.add(low)
+                if low != w:
+                    tails.append((w, low, ""))
             else:
-                plain.add(w)
-        need = plain.union(x for pair in tails.values() for x in pair).difference(self)
-        self.encode_words(list(need))
-        for w, (a, b) in tails.items():
-            self[w] = self[a] + self[b]
+                others.append(w)
+        self.encode_letters(list(letters - have))
+        self.encode_words(others)
+        for w, front, mark in tails:
+            self[w] = self[front] + self[mark]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str], step: int = 512) -> list[bytes]:
         """Each text's ids as bytes."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         get = self.__getitem__
         out: list[bytes] = []
-        for k in range(0, len(cut), 256):
-            part = cut[k : k + 256]
+        for k in range(0, len(texts), step):
+            part = [cut_words(t) for t in texts[k : k + step]]
             self.add(part)
             out += [b"".join(map(get, c)) for c in part]
         return out
 
 
+def _kinds() -> bytes:
+    """Latin-1 characters as letters or digits (a), white space, marks that close a word (,) and others (P)."""
+    kind = lambda c: "," if c in ",." else " " if c in " \n\t\r" else "a" if c.isalpha() or c.isdigit() else "P"
+    return "".join(kind(chr(k)) for k in range(256)).encode()
+
+
+_KINDS = _kinds()
+
+
+def cut_words(text: str) -> list[str]:
+    """Words at white space; where every comma and full stop follows a letter or digit, these stand alone, and a text
+    of Latin-1 is lower-cased first, so that fewer distinct words are left."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        pass
+    else:
+        if "<|" not in text:  # lower-casing could make a special token of such text
+            text = text.lower()
+        if b",," not in kinds and b"P," not in kinds:
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 _OPEN: dict[str, WordIds] = {}
 
 
