@@ -1,11 +1,12 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from lodeline.llm import embedding_dedup, exact_dedup, minhash, packing, pieces, rollups, warc
+from lodeline.llm import embedding_dedup, exact_dedup, minhash, packing, pieces, rollups, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_counts": rollups.op2_token_counts,
     "op3_warc": warc.op3_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_minhash": minhash.op7_minhash,
     "op8_pieces": pieces.op8_pieces,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
