@@ -5,9 +5,10 @@ permutation, shifted by one place per coordinate, gives every coordinate: coordi
 permutation has at the set's places moved by k. A set's row of coordinates is one contiguous slice per element.
 
 Sets that are equal are one class. Classes that agree on a band of four coordinates share a bucket; a bucket's classes
-are compared on their signatures, and what agrees on far fewer coordinates than the threshold predicts (5.5 standard
-deviations) is no candidate. Candidates are confirmed on full sets. To keep pairs few, rounds confirm each class's best
-candidate in another component so far and merge; the last round confirms every candidate that still joins two
+are compared on their signatures, and what agrees on far fewer coordinates than the threshold predicts (5 standard
+deviations, in the last round also of a signature of 1024 coordinates) is no candidate. Candidates are confirmed on full
+sets. To keep pairs few, rounds confirm each class's best
+candidate among a few of each bucket and merge; the last round confirms every candidate that still joins two
 components, so no candidate that could change the components is left out. Buckets over `block` classes are worked in
 pairs of blocks. Chance to miss a link at the threshold: (1 - t**4)**24, 3e-6 at 0.8 and 2e-8 at 0.85.
 
@@ -32,7 +33,11 @@ from lodeline.llm.shingles import mix, shingle_sets
 PLACES = 1 << 20
 ROWS, BANDS = 4, 24
 COORDS = ROWS * BANDS
-ROUNDS = 3
+#: Coordinates of the long signature that the last round's candidates are told apart by.
+LONG = 1024
+#: Rounds of best candidates at most, each class against so many neighbours of a bucket; a round that joins less than
+#: one in FEW classes is the last of them.
+ROUNDS, NEIGHBOURS, FEW = 6, 16, 200
 _SLICES = None
 
 
@@ -40,16 +45,17 @@ def _slices() -> np.ndarray:
     global _SLICES
     if _SLICES is None:
         p = np.random.default_rng(11).permutation(PLACES).astype(np.uint32)
-        _SLICES = np.lib.stride_tricks.sliding_window_view(np.concatenate([p, p[:COORDS]]), COORDS)
+        _SLICES = np.lib.stride_tricks.sliding_window_view(np.concatenate([p, p[:LONG]]), LONG)
     return _SLICES
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The circulant MinHash of a non-empty set of 64-bit hashes."""
+def signature(shingles: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """The circulant MinHash of a non-empty set of 64-bit hashes; a longer one goes on where a shorter one ends."""
     places = (mix(shingles) >> np.uint64(44)).astype(np.int64)
-    table_, low = _slices(), np.full(COORDS, 2**32 - 1, np.uint32)
-    for a in range(0, len(places), 2048):
-        np.minimum(low, table_[places[a : a + 2048]].min(axis=0), out=low)
+    table_, low = _slices()[:, :coords], np.full(coords, 2**32 - 1, np.uint32)
+    step = max(64, (1 << 18) // coords)
+    for a in range(0, len(places), step):
+        np.minimum(low, table_[places[a : a + step]].min(axis=0), out=low)
     return low
 
 
@@ -64,16 +70,9 @@ def _signed(k: int):
         for pdf in batches:
             sets = shingle_sets(pdf["text"].tolist(), k)
             sigs = [signature(s) if len(s) else None for s in sets]
-            weights = np.random.default_rng(13).integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
-            bands, short = [], []
-            for s in sigs:
-                if s is None:
-                    bands.append(None)
-                    short.append(None)
-                    continue
-                h = mix((s.astype(np.uint64) * weights).reshape(BANDS, ROWS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-                bands.append(h.view(np.int64))
-                short.append((mix(s.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes())
+            shorts = [None if s is None else (mix(s.astype(np.uint64)) >> np.uint64(48)).astype("<u2") for s in sigs]
+            bands = [None if s is None else s.view("<i8") for s in shorts]
+            short = [None if s is None else s.tobytes() for s in shorts]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
                 "same": [set_digest(s) if len(s) else None for s in sets], "bands": bands, "short": short,
@@ -82,69 +81,107 @@ def _signed(k: int):
     return run
 
 
-def least_agreement(num: int, den: int) -> int:
-    """Coordinates that must agree: 5.5 standard deviations below the mean at the threshold."""
+def least_agreement(num: int, den: int, coords: int = COORDS) -> int:
+    """Coordinates that must agree: 5 standard deviations below the mean at the threshold."""
     t = num / den
-    return max(1, math.floor(t * COORDS - 5.5 * math.sqrt(COORDS * t * (1 - t))))
-
-
-def _blocks(sig_a: np.ndarray, sig_b: np.ndarray, n_a, n_b, num: int, den: int, least: int) -> np.ndarray:
-    """Agreeing coordinates of each pair, 0 where sizes or signatures rule a link out."""
-    out = np.zeros((len(sig_a), len(sig_b)), np.int16)
-    for a in range(0, len(sig_a), 64):
-        out[a : a + 64] = (sig_a[a : a + 64, None, :] == sig_b[None, :, :]).sum(axis=2, dtype=np.int16)
-    small, large = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
-    out[(out < least) | (small * den < large * num)] = 0
-    return out
+    return max(1, math.floor(t * coords - 5 * math.sqrt(coords * t * (1 - t))))
 
 
 def _candidates(num: int, den: int, every: bool):
-    """Rows sorted by bucket to candidates: each class's best in another component, or every one in another."""
-    least = least_agreement(num, den)
-
-    def bucket(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        left = np.flatnonzero(g["side"] == 0)
-        right = left if g["same"][0] else np.flatnonzero(g["side"] == 1)
-        comp = g["comp"]
-        if not len(left) or not len(right) or (comp == comp[0]).all():
-            return None
-        agree = _blocks(g["sig"][left], g["sig"][right], g["n"][left], g["n"][right], num, den, least)
-        agree[comp[left][:, None] == comp[right][None, :]] = 0
-        if every:
-            r, c = np.nonzero(agree)
-        else:
-            best, other = agree.argmax(axis=1), agree.argmax(axis=0)
-            r = np.concatenate([np.arange(len(left)), other])
-            c = np.concatenate([best, np.arange(len(right))])
-        a, b, w = g["doc"][left][r], g["doc"][right][c], agree[r, c]
-        keep = w > 0
-        return np.minimum(a, b)[keep], np.maximum(a, b)[keep], w[keep]
+    """Rows sorted by bucket to candidates in two components: of each class the best of a few, or every one.
+
+    Every candidate comes from the first band that both classes agree on, so it is listed once.
+    """
+    least, least_long = least_agreement(num, den), least_agreement(num, den, LONG)
+
+    def fits(n, m):
+        return np.minimum(n, m) * den >= np.maximum(n, m) * num
+
+    def few(g: dict) -> tuple | None:
+        """Each class against the bucket's first and the next few in signature order."""
+        m = len(g["doc"])
+        best, other = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        for s in (*range(1, min(m, NEIGHBOURS + 1)), 0):
+            i = np.arange(m - s) if s else np.arange(1, m)
+            j = i + s if s else np.zeros(m - 1, np.int64)
+            eq = g["sig"][i] == g["sig"][j]
+            w = eq.sum(axis=1)
+            w[eq.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) != g["band"][0]] = 0
+            w[(w < least) | (g["comp"][i] == g["comp"][j]) | ~fits(g["n"][i], g["n"][j])] = 0
+            for p, q in ((i, j), (j, i)):
+                if s or p is i:
+                    up = w > best[p]
+                    best[p[up]], other[p[up]] = w[up], q[up]
+        i = np.flatnonzero(best)
+        a, b = g["doc"][i], g["doc"][other[i]]
+        return np.minimum(a, b), np.maximum(a, b), best[i]
+
+    def rest(g: dict) -> Iterator[tuple]:
+        """Classes outside the bucket's largest component against all classes, each pair once."""
+        names, which = np.unique(g["comp"], return_inverse=True)
+        sides = [np.flatnonzero(g["side"] == k) for k in (0, 1)]
+        outside = which != np.bincount(which).argmax()
+        band = g["band"][0]
+        for rows, cols, once in ((sides[0], sides[0], True),) if g["same"][0] else ((sides[0][outside[sides[0]]], sides[1], False), (sides[0][~outside[sides[0]]], sides[1][outside[sides[1]]], False)):
+            rows = rows[outside[rows]] if once else rows
+            for k in range(0, len(rows), 64):
+                r = rows[k : k + 64]
+                ok = fits(g["n"][r][:, None], g["n"][cols][None, :]) & (which[r][:, None] != which[cols][None, :])
+                if once:  # of two outside classes the later one brings the pair
+                    ok &= ~outside[cols][None, :] | (cols[None, :] < r[:, None])
+                i, j = np.nonzero(ok)
+                for c in range(0, len(i), 1 << 14):
+                    x, y = r[i[c : c + (1 << 14)]], cols[j[c : c + (1 << 14)]]
+                    eq = g["sig"][x] == g["sig"][y]
+                    keep = eq.sum(axis=1) >= least
+                    keep &= eq.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                    x, y = x[keep], y[keep]
+                    keep = (g["long"][x] == g["long"][y]).sum(axis=1) >= least_long
+                    a, b = g["doc"][x[keep]], g["doc"][y[keep]]
+                    yield np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def groups(pdf: pd.DataFrame) -> Iterator[tuple]:
-            cols = {c: pdf[c].to_numpy() for c in ("key", "x", "y", "side", "doc", "comp", "n")}
+        def groups(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cols = {c: pdf[c].to_numpy() for c in ("band", "key", "x", "y", "side", "doc", "comp", "n")}
             cols["same"] = cols["x"] == cols["y"]
-            cols["sig"] = np.frombuffer(b"".join(pdf["short"]), np.uint8).reshape(-1, COORDS)
-            new = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["x"]) != 0) | (np.diff(cols["y"]) != 0)) + 1
-            for a, b in zip([0, *new], [*new, len(pdf)]):
-                if b - a > 1 and (got := bucket({k: v[a:b] for k, v in cols.items()})) is not None:
-                    yield got
+            cols["sig"] = np.frombuffer(b"".join(pdf["short"]), "<u2").reshape(-1, COORDS)
+            if every:
+                cols["long"] = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(-1, LONG)
+            edge = np.zeros(len(pdf), bool)
+            edge[0] = True
+            for c in ("band", "key", "x", "y"):
+                edge[1:] |= np.diff(cols[c]) != 0
+            at = np.flatnonzero(edge)
+            found, n = [], 0
+            # A group of one component has nothing to find.
+            mixed = np.maximum.reduceat(cols["comp"], at) != np.minimum.reduceat(cols["comp"], at)
+            for a, b in zip(at[mixed].tolist(), np.append(at[1:], len(pdf))[mixed].tolist()):
+                g = {k: v[a:b] for k, v in cols.items()}
+                for got in rest(g) if every else [few(g)] if g["same"][0] else []:
+                    found.append(got)
+                    n += len(got[0])
+                    if n > 100_000:
+                        yield frame(found)
+                        found, n = [], 0
+            if found:
+                yield frame(found)
 
         def frame(found) -> pd.DataFrame:
-            a, b, w = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"),) * 3
+            a, b, w = (np.concatenate(x) for x in zip(*found))
             return pd.DataFrame({"a": a, "b": b, "w": w.astype("int64")}).drop_duplicates(["a", "b"])
 
+        names = ["band", "key", "x", "y"]
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["x"] == pdf["x"].iloc[-1]) & (pdf["y"] == pdf["y"].iloc[-1])
+            last = (pdf[names] == pdf[names].iloc[-1]).all(axis=1)
             cut = len(pdf) - int(last.sum())
             held = pdf.iloc[cut:].reset_index(drop=True)
             if cut:
-                yield frame(list(groups(pdf.iloc[:cut])))
-        if held is not None:
-            yield frame(list(groups(held)))
+                yield from groups(pdf.iloc[:cut])
+        if held is not None and len(held):
+            yield from groups(held)
 
     return run
 
@@ -203,14 +240,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
     one = usable.groupBy("same").agg(F.min("doc_id").alias("doc")).withColumnRenamed("same", "s")
     reps = usable.join(one, (F.col("same") == F.col("s")) & (F.col("doc_id") == F.col("doc"))).select("doc", "n", "short", "bands").dropDuplicates(["doc"])
     reps = scratch.keep(reps, "reps")
-    spread = reps.select("doc", F.explode("bands").alias("key"))
-    mark = F.bit_xor(F.xxhash64("doc")).alias("who")
-    buckets = spread.groupBy("key").agg(F.count("*").alias("m"), mark).where("m > 1")
-    # Bands that bring the same classes together are one bucket.
-    buckets = buckets.groupBy("m", "who").agg(F.min("key").alias("key")).withColumn("k", F.ceil(F.col("m") / F.lit(block)))
-    inside = spread.join(buckets.select("key", "k"), "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")))
+    spread = reps.select("doc", F.posexplode("bands").alias("band", "key"))
+    buckets = spread.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("k", F.ceil(F.col("m") / F.lit(block)))
+    inside = spread.join(buckets.select("band", "key", "k"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")))
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    inside = inside.select("key", "doc", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1).alias("side"))
+    inside = inside.select("band", "key", "doc", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), F.when(F.col("own") <= F.col("o"), 0).otherwise(1).alias("side"))
     members = scratch.keep(inside.join(reps.select("doc", "n", "short"), "doc"), "members")
     width = shuffle_width(spark)
     n_docs = reps.count()
@@ -222,16 +256,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
             h = mix(pdf["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(bits)
             pdf = pdf[(wanted.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             if len(pdf):
-                yield pd.DataFrame({"doc": pdf["doc_id"], "set": [s.astype("<u8").tobytes() for s in shingle_sets(pdf["text"].tolist(), words)]})
+                sets = shingle_sets(pdf["text"].tolist(), words)
+                long = [(mix(signature(s, LONG).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else b"" for s in sets]
+                yield pd.DataFrame({"doc": pdf["doc_id"], "set": [s.astype("<u8").tobytes() for s in sets], "long": long})
 
-    sets = rows.where("doc_id IS NOT NULL").mapInPandas(full, "doc long, set binary")
+    sets = rows.where("doc_id IS NOT NULL").mapInPandas(full, "doc long, set binary, long binary")
     sets = scratch.keep(sets.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "sets")
+    n_sets = sets.count()
     edges = None
     roots = None
-    for step in range(ROUNDS + 1):
-        every = step == ROUNDS
+    step, every = 0, False
+    while True:
         now = members.withColumn("comp", F.col("doc")) if roots is None else members.join(roots, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "doc")).drop("node", "root")
-        now = now.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "doc")
+        if every:
+            # Buckets that still hold two components, with the long signatures.
+            open_ = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
+            now = now.join(open_, ["band", "key"]).join(sets.select("doc", "long"), "doc")
+        now = now.repartition(width, "band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "short", "doc")
         pairs = now.mapInPandas(_candidates(num, den, every), "a long, b long, w long")
         if every:
             pairs = pairs.select("a", "b").distinct()
@@ -241,10 +282,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
             pairs = ends.groupBy("me").agg(F.max_by(F.struct("a", "b"), F.struct("w", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
         p = sets.select(F.col("doc").alias("a"), F.col("set").alias("p"))
         q = sets.select(F.col("doc").alias("b"), F.col("set").alias("q"))
+        pairs = scratch.keep(pairs, f"pairs{step}")
         new = scratch.keep(pairs.join(p, "a").join(q, "b").mapInPandas(_confirmed(num, den), "a long, b long"), f"links{step}")
         edges = new if edges is None else edges.unionByName(new)
-        if every or not new.isEmpty():
+        found = new.count()
+        if every or found:
             roots = components(edges, scratch, f"roots{step}")
+        if every:
+            break
+        step += 1
+        every = step == ROUNDS or found * FEW < n_sets
     total = with_group(usable.select("same", "doc_id"), "same", "doc_id", [(F.min("doc_id"), F.min, "rep")])
     of = total.select("doc_id", "same", "rep").distinct().join(roots, F.col("rep") == F.col("node"), "left")
     of = of.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), F.coalesce("root", "rep").alias("component"))
