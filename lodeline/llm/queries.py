@@ -1,11 +1,12 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from lodeline.llm import embedding_dedup, exact_dedup, minhash, packing, pieces, repeats, rollups, toxicity, warc
+from lodeline.llm import embedding_dedup, exact_dedup, lm_scoring, minhash, packing, pieces, repeats, rollups, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_counts": rollups.op2_token_counts,
     "op3_warc": warc.op3_warc,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repeats": repeats.op6_repeats,
     "op7_minhash": minhash.op7_minhash,
