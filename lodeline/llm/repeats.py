@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm.anchors import segments
-from lodeline.llm.common import Scratch, shuffle_width, table, texts
+from lodeline.llm.common import Scratch, release_memory, shuffle_width, table, texts
 from lodeline.llm.induced import Spill, repeated
+from lodeline.llm.shingles import mix
 
 SIZE, GRAM = 100, 32
 #: Between segments in a shard's text; no byte of UTF-8.
@@ -54,8 +55,10 @@ def _anchored(size: int, gram: int):
             again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
             same = np.zeros(len(h), bool)  # the same row twice
             same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-            # Rows that are repeats already (done) are spread by their segment, away from their anchor's other rows.
-            yield pd.DataFrame({"done": again, "h": np.where(again, g, h), "g": g, "doc": doc, "start": start, "n": n.astype(np.int32)})[~same]
+            # Rows that are repeats already (done) are spread by their place: an anchor may have very many.
+            spread = mix(doc.view(np.uint64) * np.uint64(1 << 20) + start.view(np.uint64)).view(np.int64)
+            yield pd.DataFrame({"done": again, "h": np.where(again, spread, h), "g": g, "doc": doc, "start": start, "n": n.astype(np.int32)})[~same]
+        release_memory()
 
     return run
 
@@ -159,6 +162,7 @@ def _sorted_shard(size: int, folder: str, memory: int):
         at = np.flatnonzero(edge)
         count = np.diff(np.append(at, len(s)))
         yield pd.DataFrame({"doc": d[at], "start": s[at], "n": count.astype(np.int32)})
+        release_memory()
 
     return run
 
