@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -29,6 +31,11 @@ def words(text: str) -> list[str]:
     return WORD.findall(low)
 
 
+def byte_words(text: str) -> list[bytes]:
+    """The same words in UTF-8: bytes are lower-cased within ASCII and split at just these six separators."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +45,29 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Rows of a batch that texts are sent to Python in: documents can be long, and a batch is held several times over.
+TEXT_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller batches for operators on whole texts, unless the session asks for even smaller ones."""
+    if int(spark.conf.get(_ROWS)) > TEXT_ROWS:
+        spark.conf.set(_ROWS, TEXT_ROWS)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and the allocator keeps what it had."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +84,7 @@ class Scratch:
     """Tables of one run in the shared folder. A written table cuts the lineage and outlives executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        text_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark).rstrip('/')}/lodeline-{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

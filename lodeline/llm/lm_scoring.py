@@ -29,22 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, shuffle_width, table, texts, words
+from lodeline.llm.common import Scratch, byte_words, release_memory, table, texts
 from lodeline.llm.recurrent import Net, Shape, Trainer, flatten, fresh, unflatten
 
 #: The end of a document among words, which never hold a line feed.
-END = "\n"
+END = b"\n"
 FOLDS, HELD_OUT = 5, 1
 KNOWN, START_DOCS, SHARE = 150_000, 1500, 0.25
 PART = 4096
 LN10 = float(np.log(10))
 
 
-def tail_class(word: str) -> int:
+def tail_class(word: bytes) -> int:
     """One of 32: by the first letter outside ASCII, else by the last two letters."""
     if not word.isascii():
-        return next(ord(c) for c in word if c > "\x7f") % 16
-    return 16 + zlib.crc32(word[-2:].encode()) % 16
+        return next(ord(c) for c in word.decode("utf-8", "replace") if c > "\x7f") % 16
+    return 16 + zlib.crc32(word[-2:]) % 16
 
 
 def remainder():
@@ -58,20 +58,41 @@ def word_counts(train: DataFrame, most: int = 300_000) -> DataFrame:
         seen: Counter = Counter()
         for pdf in batches:
             for t in pdf["text"]:
-                seen.update(words(t))
+                seen.update(byte_words(t))
                 seen[END] += 1
                 if len(seen) > most:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen = Counter()
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"]).astype({"n": "int64"})
+        release_memory()
 
-    return train.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return train.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Up to `most` words with their counts, most frequent first.
+
+    The least count to take is read off a histogram in sixteenths of a doubling, so no task sends words that are not
+    wanted; of words in the step where the bound is met the first by name are taken.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # at most 16 * 63 rows
+    taken, least = 0, None
+    for r in sizes:
+        if taken + r["count"] > most:
+            break
+        taken, least = taken + r["count"], r["step"]
+    if least is None:
+        rows = counts.orderBy(F.desc("c"), "word").limit(most).collect() if sizes else []
+    else:
+        rows = counts.where(step >= least).collect()
+    return sorted(((bytes(r["word"]), int(r["c"])) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 class Vocabulary:
     """What tasks know: the most frequent words with counts, head words, and class sums."""
 
-    def __init__(self, shape: Shape, known: list[tuple[str, int]], n: int, v: int, sums: dict[int, tuple[int, int]]):
+    def __init__(self, shape: Shape, known: list[tuple[bytes, int]], n: int, v: int, sums: dict[int, tuple[int, int]]):
         self.shape, self.n, self.v = shape, n, v
         self.ids = {w: k for k, (w, _) in enumerate(known)}
         counts = np.array([c for _, c in known], np.float64)
@@ -85,9 +106,8 @@ class Vocabulary:
         logs = np.log10(counts + 0.5)
         self.base = np.append(logs - self.total, 0.0)
         self.inner = np.append(np.where(head, 0.0, logs - self.tail[cls]), 0.0)
-        self.seen: dict[str, int] = {}
 
-    def encode(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(known index or -1, symbol, the words that are not known)."""
         ids = np.fromiter(map(self.ids.get, tokens, repeat(-1)), np.int64, len(tokens))
         symbol = self.symbol[ids]
@@ -106,7 +126,7 @@ def _train(voc: Vocabulary, start: np.ndarray, texts_: Iterator[list[str]], rate
     size = 0
     for part in texts_:
         for t in part:
-            held.append(voc.encode([*words(t), END])[1])
+            held.append(voc.encode([*byte_words(t), END])[1])
             size += len(held[-1])
             if size > 1_500_000:
                 trainer.learn(held)
@@ -132,7 +152,9 @@ def trained(spark: SparkSession, train: DataFrame, voc: Vocabulary, scratch: Scr
             yield blocks(_train(shared.value, flatten(fresh(shared.value.shape)), iter([rows, rows]), 0.01))
 
     kind = "block int, w long, values array<float>"
-    some = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(start_docs)
+    # The rows are chosen by id; their number is bounded, so the ids are broadcast and only these texts travel.
+    ids = train.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(start_docs).select("doc_id")
+    some = train.join(F.broadcast(ids), "doc_id").orderBy("doc_id").select("text")
     begun = some.coalesce(1).mapInPandas(first, kind).orderBy("block").collect()
     if not begun:
         return flatten(fresh(voc.shape))
@@ -163,7 +185,7 @@ def _scored(voc, flat):
             n_tokens, known, base, inner, symbols = [], [], [], [], []
             r_row, r_word, r_n, r_den = [], [], [], []
             for k, t in enumerate(pdf["text"]):
-                tokens = [*words(t), END]
+                tokens = [*byte_words(t), END]
                 ids, sym, rare = v.encode(tokens)
                 n_tokens.append(len(tokens))
                 known.append(len(tokens) - len(rare))
@@ -186,6 +208,7 @@ def _scored(voc, flat):
             yield pd.DataFrame({"row": at + np.arange(len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "word": None, "n": n_tokens, "n_known": known, "base": base, "score": score + inner})
             yield pd.DataFrame({"row": np.array(r_row, "int64"), "doc_id": pd.array([None] * len(r_row), "Int64"), "word": r_word, "n": np.array(r_n, "int64"), "n_known": 0, "base": v.total, "score": r_den})
             at += len(pdf)
+        release_memory()
 
     return run
 
@@ -200,22 +223,21 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, shape: Shape | None
 
     def by_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cls = pdf["word"].map(tail_class).to_numpy(np.int64)
+            cls = np.fromiter(map(tail_class, map(bytes, pdf["word"])), np.int64, len(pdf))
             c = np.bincount(cls, weights=pdf["c"], minlength=shape.tail_classes)
             n = np.bincount(cls, minlength=shape.tail_classes)
             yield pd.DataFrame({"cls": np.arange(shape.tail_classes), "c": c.astype(np.int64), "n": n})
 
     sums = {int(r["cls"]): [int(r["c"]), int(r["n"])] for r in counts.mapInPandas(by_class, "cls long, c long, n long").groupBy("cls").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()}
     n, v = sum(x[0] for x in sums.values()), sum(x[1] for x in sums.values())
-    # At most `known` rows.
-    top = [(r["word"], int(r["c"])) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]
+    top = most_frequent(counts, known)
     for w, c in top[: shape.head]:
         sums[tail_class(w)][0] -= c
         sums[tail_class(w)][1] -= 1
     voc = Vocabulary(shape, top, n, v, {k: tuple(x) for k, x in sums.items()})
     flat = spark.sparkContext.broadcast(trained(spark, train, voc, scratch, share=share, start_docs=start_docs))
     shared = spark.sparkContext.broadcast(voc)
-    kind = "row long, doc_id long, word string, n long, n_known long, base double, score double"
+    kind = "row long, doc_id long, word binary, n long, n_known long, base double, score double"
     found = scratch.keep(rows.mapInPandas(_scored(shared, flat), kind), "scored")
     rare = found.where("word IS NOT NULL").select("row", "word", "n", F.col("base").alias("total"), F.col("score").alias("inner"))
     log_c = F.log10(F.coalesce("c", F.lit(0)) + 0.5)

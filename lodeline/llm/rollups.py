@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import WORD, Scratch, shuffle_width, table
+from lodeline.llm.common import Scratch, byte_words, table
 from lodeline.llm.word_ids import WORD_BPE, tokenizer_file, word_ids
 
 KEYS = ["source", "lang", "tokenizer"]
 
 
 def count_words(texts: list[str]) -> list[int]:
-    return [len(WORD.findall(t)) for t in texts]
+    return [len(byte_words(t)) for t in texts]
 
 
 class CountWordBpe:
