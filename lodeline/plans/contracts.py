@@ -252,3 +252,40 @@ def summary(made: Contracts) -> dict[str, int | str]:
     out["files_failed"] = failed
     out["status"] = "partial_with_errors" if failed else "complete_with_diagnostics" if out["diagnostics"] else "complete"
     return out
+
+
+SCANNED = "file string, mark string, signature string"
+
+
+def refresh(spark: SparkSession, store, root: str, integrator_file: str, references: tuple[str, ...] | str | None = None, **options) -> Contracts:
+    """Contracts brought up to date in a store: callers are read again only in files that are new or changed.
+
+    A file is known by its length and time and by the signature of the build. Only files that held a reference are
+    remembered, so the store stays a slice of the corpus; the others are searched again, which needs no table of them.
+    Rows of files that changed or vanished go, links are made anew, and the version is published as a whole.
+    """
+    asked = build(spark, root, integrator_file, references, only=spark.createDataFrame([], "file string"), **options)
+    signature = asked.metadata["reference_signature"]
+    now = corpus.files(spark, root).select("file", F.concat_ws(":", "length", F.col("modified").cast("double")).alias("mark"))
+    before = store.table("scan_files", SCANNED).where(F.col("signature") == signature).select("file", "mark")
+    status = resolve.fingerprint_diff(before, now, "file", "mark")
+    cached = status.where("status = 'CACHED'").select("file").checkpoint()
+    todo = now.join(cached, "file", "left_anti").select("file")
+    made = build(spark, root, integrator_file, references, only=todo, **options)
+    keep = {"caller_references": "caller_file", "caller_mappings": "caller_file", "caller_diagnostics": "file_path"}
+    tables = dict(made.tables)
+    linking = F.col("code").isin("AMBIGUOUS_OPERATION_TARGET", "NO_API_OPERATION")
+    own = asked.diagnostics.where(~linking).checkpoint()
+    # What the integrator's own file is told about comes with every build; the rest belongs to callers.
+    fresh = made.diagnostics.where(~linking)
+    mine = own.select("file_path", "code", F.coalesce("tag_offset", F.lit(-1)).alias("tag_offset")).distinct()
+    tables["caller_diagnostics"] = fresh.join(mine, fresh["file_path"].eqNullSafe(mine["file_path"]) & (fresh["code"] == mine["code"]) & (F.coalesce(fresh["tag_offset"], F.lit(-1)) == mine["tag_offset"]), "left_anti").select(*DIAGNOSTIC)
+    for name, at in keep.items():
+        old = store.table(name, tables[name].schema).join(cached.withColumnRenamed("file", at), at, "left_semi")
+        tables[name] = tables[name].unionByName(old.select(*tables[name].columns))
+    hits = tables["referencing_files"].unionByName(cached.select(F.col("file").alias("file_path"))).distinct()
+    tables["referencing_files"] = hits
+    tables["scan_files"] = now.join(hits, F.col("file") == F.col("file_path"), "left_semi").withColumn("signature", F.lit(signature))
+    tables["caller_operation_links"], lost = links(tables["caller_references"], tables["odata_operations"])
+    tables["diagnostics"] = own.select(*DIAGNOSTIC).unionByName(tables["caller_diagnostics"]).unionByName(lost)
+    return Contracts(tables, made.metadata)

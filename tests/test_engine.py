@@ -164,3 +164,34 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["inspect", root, "--output", str(tmp_path / "c")], spark) == 0
     assert main(["build", root, "--integrator", "Api.ifp", "--store", f"file://{tmp_path}/st"], spark) == 0
     assert main(["report", "--store", f"file://{tmp_path}/st", "--output", str(tmp_path / "r.md")], spark) == 0
+
+
+def test_refresh_reads_only_what_changed(spark, tmp_path):
+    root = tmp_path / "corpus"
+    clinic(root)
+    store = Store(spark, f"file://{tmp_path}/store")
+    whole = contracts.build(spark, str(root), "ClinicHub.ifp")
+    want = {k: whole.tables[k].count() for k in ("caller_references", "caller_mappings", "caller_operation_links", "diagnostics")}
+    for _ in range(2):
+        got = contracts.refresh(spark, store, str(root), "ClinicHub.ifp")
+        publish_contracts(store, got, spark=spark)
+        assert {k: store.table(k).count() for k in want} == want
+    assert store.table("scan_files").count() == 2
+    (root / "Desk.IFP").unlink()
+    (root / "plain.ifp").write_text("<P><Rule Name='new' RuleClassName='CallComponentRule' SelectComponent='lib/ClinicHub.ifp' ComponentList='Book'/></P>")
+    got = contracts.refresh(spark, store, str(root), "ClinicHub.ifp")
+    publish_contracts(store, got, spark=spark)
+    assert {r["rule_name"] for r in store.table("caller_references").collect()} == {"Legacy", None, "new"}
+    assert store.table("caller_operation_links").count() == 1
+
+
+def test_stream_of_files(spark, tmp_path):
+    from lodeline.streaming import incremental
+
+    root, index = lineage(tmp_path / "in"), f"file://{tmp_path}/idx"
+    incremental.watch_eids(spark, root, index)
+    n = incremental.eids(spark, index).count()
+    assert n == 9
+    (tmp_path / "in" / "More.ifp").write_text("<Phase eid='zz'/>")
+    incremental.watch_eids(spark, root, index)
+    assert incremental.eids(spark, index).count() == n + 1
