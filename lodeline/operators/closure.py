@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds at most; each is one more step away from a seed.
 MOST_ROUNDS = 5000
+#: Edges up to which a graph is sent to every task, which then walks it from its own seeds.
+SENT_EDGES = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,11 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def reach(spark: SparkSession, seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+def _walk(back: dict):
+    """Seeds of a partition to the pairs (seed, node) they reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for seed in pdf["seed"].tolist():
+                done, todo = {seed}, [seed]
+                while todo:
+                    for n in back.get(todo.pop(), ()):
+                        if n not in done:
+                            done.add(n)
+                            todo.append(n)
+                yield pd.DataFrame({"seed": [seed] * len(done), "node": list(done)})
+
+    return run
+
+
+def reach(spark: SparkSession, seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None, most: int = MOST_ROUNDS, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(seed, node) reachable from each seed against (src, dst) edges: from dst to src; nodes in `stop` are not left.
 
-    Each round joins the newest pairs with the edges and keeps what is new by an anti-join. Rounds are written to the
-    shared folder, which cuts the plan and survives executors.
+    A graph of at most `sent_edges` edges (counted first) goes to every task, and seeds are walked side by side. A larger
+    one stays distributed: each round joins the newest pairs with the edges and keeps what is new by an anti-join.
+    Rounds are written to the shared folder, which cuts the plan and survives executors.
     """
     root = f"{shared_folder(spark).rstrip('/')}/reach-{uuid.uuid4().hex}"
 
@@ -35,13 +57,21 @@ def reach(spark: SparkSession, seeds: DataFrame, edges: DataFrame, *, stop: Data
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    steps = keep(edges.select(F.col("src").alias("to"), F.col("dst").alias("at")).distinct(), "edges")
+    steps = edges.select(F.col("src").alias("to"), F.col("dst").alias("at")).distinct()
     blocked = stop.select(F.col("node")).distinct() if stop is not None else None
-    new = keep(seeds.select("seed", F.col("seed").alias("node")).distinct(), "0")
+    if blocked is not None:
+        steps = steps.join(blocked, steps["at"] == blocked["node"], "left_anti")
+    steps = keep(steps, "edges")
+    starts = seeds.select("seed").distinct()
+    if steps.count() <= sent_edges:
+        pairs = steps.toPandas()
+        back = pairs.groupby("at")["to"].agg(list).to_dict() if len(pairs) else {}
+        kind = starts.schema["seed"].dataType.simpleString()
+        return starts.mapInPandas(_walk(back), f"seed {kind}, node {kind}")
+    new = keep(starts.select("seed", F.col("seed").alias("node")), "0")
     done = [f"{root}/0"]
     for k in range(1, most + 1):
-        front = new.join(blocked, "node", "left_anti") if blocked is not None else new
-        found = front.join(steps, front["node"] == steps["at"]).select("seed", F.col("to").alias("node")).distinct()
+        found = new.join(steps, new["node"] == steps["at"]).select("seed", F.col("to").alias("node")).distinct()
         seen = spark.read.schema(new.schema).parquet(*done)
         new = keep(found.join(seen, ["seed", "node"], "left_anti"), str(k))
         if new.isEmpty():

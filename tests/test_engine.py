@@ -195,3 +195,15 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "More.ifp").write_text("<Phase eid='zz'/>")
     incremental.watch_eids(spark, root, index)
     assert incremental.eids(spark, index).count() == n + 1
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_closure_walks_and_rounds(spark, sent):
+    from lodeline.operators.closure import reach
+
+    edges = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (4, 3), (5, 4), (6, 6)], "src long, dst long")  # a cycle and a tail
+    seeds = spark.createDataFrame([(1,), (6,), (9,), (1,)], "seed long")
+    stop = spark.createDataFrame([(4,)], "node long")
+    got = sorted(tuple(r) for r in reach(spark, seeds, edges, stop=stop, sent_edges=sent).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (6, 6), (9, 9)]
+    assert reach(spark, seeds, edges.limit(0), sent_edges=sent).count() == 3
