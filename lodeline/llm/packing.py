@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.llm.common import table, texts
+from lodeline.llm.common import release_memory, table, text_batches, texts
 from lodeline.llm.word_ids import WORD_BPE, tokenizer_file, word_ids
 
 WINDOW = 4096
@@ -134,8 +134,10 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = WINDOW, close: int = CL
                 out += rows(packer.add((key, len(ids) // 4), ids))
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
         yield pd.DataFrame(rows(packer.end()), columns=names).astype({"doc_id": "Int64"})
+        release_memory()
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    text_batches(docs.sparkSession)
     return texts(docs).mapInPandas(run, kind)
 
 

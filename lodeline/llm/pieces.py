@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.llm.common import table, texts
+from lodeline.llm.common import release_memory, table, text_batches, texts
 from lodeline.llm.word_ids import tokenizer_file
 
 PIECES = "piece_bpe_32k.model"
@@ -112,7 +112,9 @@ def encode_decode(docs: DataFrame, model: str, *, ids: bool = False) -> DataFram
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").values)
             yield out
+        release_memory()
 
+    text_batches(docs.sparkSession)
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return texts(docs).mapInPandas(run, kind)
 

@@ -35,7 +35,7 @@ from lodeline.llm.shingles import mix
 SIZE, GRAM = 100, 32
 #: Between segments in a shard's text; no byte of UTF-8.
 FENCE = 255
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _anchored(size: int, gram: int):

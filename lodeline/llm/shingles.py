@@ -49,7 +49,7 @@ def word_hashes(buf: np.ndarray, size: int = 1 << 22) -> tuple[np.ndarray, np.nd
     return start, mix((run[end] - run[start]) * powers(_INVERSE, len(buf) + 1)[start] + (end - start).astype(U64))
 
 
-def shingle_sets(texts: list[str], k: int, step: int = 1 << 21) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], k: int, step: int = 1 << 19) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its shingles of k words; of fewer words, the whole sequence as one."""
     out: list[np.ndarray] = []
     part: list[bytes] = []

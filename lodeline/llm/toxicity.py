@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, table, texts
+from lodeline.llm.common import Scratch, release_memory, table, texts
 
 EXAMPLES, TERMS, RATIO, CHI2, LEAST_ROWS, LEAST_SHARE = 6000, 2048, 3.0, 25.0, 5, 0.01
 BLOCK, K = 64, 16
@@ -90,6 +90,7 @@ def choose_terms(sample: DataFrame) -> list[str]:
             for y, c in seen.items():
                 if c:
                     yield pd.DataFrame({"term": list(c), "toxic": y, "n": list(c.values())})
+        release_memory()
 
     total = sample.agg(F.sum("toxic").alias("one"), F.count("*").alias("all")).collect()[0]
     n1, n0 = float(total["one"] or 0), float((total["all"] or 0) - (total["one"] or 0))
@@ -124,6 +125,7 @@ def term_vectors(rows: DataFrame, chosen: list[str], keep: list[str]) -> DataFra
                 at.append(order)
                 tf.append([n[k] for k in order])
             yield pdf[keep].assign(term=at, tf=tf)
+        release_memory()
 
     kinds = dict(rows.dtypes)
     return rows.select(*keep, "text").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", term array<int>, tf array<int>")
