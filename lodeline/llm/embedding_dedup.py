@@ -225,6 +225,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, cos: float = 0.9, b
     sent = mine.join(held, "vec_id")
     found = sent.groupBy("filter", "x", "y").applyInPandas(_compare(cos), "vec_id long, links long, root long")
     found = scratch.keep(found, "found")
+    scratch.drop("held")
     edges = found.where("vec_id <> root").select(F.col("root").alias("a"), F.col("vec_id").alias("b"))
     joined = components(edges, scratch, "parts")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
@@ -237,3 +238,14 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, cos: float = 0.9, b
 
 def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS z FROM v WHERE len(e) > 0 AND len([x for x in e if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.z > 0 AND b.z > 0 AND list_inner_product(a.e, b.e) / a.z / b.z >= 0.9),
+r(node, far) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.far),
+m AS (SELECT node, min(far) AS root FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN m ON vec_id = node LEFT JOIN k ON k.a = vec_id
+"""

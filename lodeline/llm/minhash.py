@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, components, shuffle_width, table, texts, with_group
+from lodeline.llm.common import Scratch, components, release_memory, shuffle_width, table, texts, with_group
 from lodeline.llm.shingles import mix, shingle_sets
 
 PLACES = 1 << 20
@@ -77,6 +77,7 @@ def _signed(k: int):
                 "doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
                 "same": [set_digest(s) if len(s) else None for s in sets], "bands": bands, "short": short,
             })
+        release_memory()
 
     return run
 
@@ -182,6 +183,7 @@ def _candidates(num: int, den: int, every: bool):
                 yield from groups(pdf.iloc[:cut])
         if held is not None and len(held):
             yield from groups(held)
+        release_memory()
 
     return run
 
@@ -259,6 +261,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
                 sets = shingle_sets(pdf["text"].tolist(), words)
                 long = [(mix(signature(s, LONG).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else b"" for s in sets]
                 yield pd.DataFrame({"doc": pdf["doc_id"], "set": [s.astype("<u8").tobytes() for s in sets], "long": long})
+        release_memory()
 
     sets = rows.where("doc_id IS NOT NULL").mapInPandas(full, "doc long, set binary, long binary")
     sets = scratch.keep(sets.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "sets")
@@ -289,6 +292,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
         if every or found:
             roots = components(edges, scratch, f"roots{step}")
         if every:
+            # What is left to do needs the signatures' table and the last roots alone.
+            for name in ("reps", "members", "sets", *(f"{n}{k}" for n in ("pairs", "links") for k in range(step + 1)), *(f"roots{k}-out" for k in range(step))):
+                scratch.drop(name)
             break
         step += 1
         every = step == ROUNDS or found * FEW < n_sets
@@ -302,3 +308,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r(node, far) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.far),
+m AS (SELECT node, min(far) AS root FROM r GROUP BY node)
+SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM n JOIN m ON doc_id = node
+"""

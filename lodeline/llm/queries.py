@@ -17,6 +17,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_warc": warc.ORACLE,
+    "op7_minhash": minhash.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_caps": embedding_dedup.ORACLE,
     "token_rollup_words": rollups.ORACLE,
 }
