@@ -23,6 +23,8 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--reference", action="append")
     b.add_argument("--ignore-case", action="store_true")
     b.add_argument("--include-dynamic-references", action="store_true")
+    b.add_argument("--fresh", action="store_true", help="forget what earlier builds found")
+    b.add_argument("--quiet", action="store_true")
     r = sub.add_parser("report", help="render a store")
     r.add_argument("--store", required=True)
     r.add_argument("--format", choices=("markdown", "json"), default="markdown")
@@ -54,13 +56,20 @@ def _variables(pairs: list[str]) -> dict[str, str]:
 
 
 def _build(spark, args) -> int:
+    from lodeline.functions.text import duration
     from lodeline.plans import contracts
+    from lodeline.sources import corpus
     from lodeline.sources.store import Store, publish_contracts
 
+    began, store = time.time(), Store(spark, args.store)
+    if args.fresh:
+        store.reset()
+    before = corpus.listing(spark, args.root)
     voc = vocabulary(read_config(args.rules_config))
-    made = contracts.build(spark, args.root, args.integrator, tuple(args.reference) if args.reference else None, vocabulary=voc, ignore_case=args.ignore_case, include_dynamic=args.include_dynamic_references)
-    counts = publish_contracts(Store(spark, args.store), made, spark=spark)
-    print(json.dumps(counts))
+    made = contracts.refresh(spark, store, args.root, args.integrator, tuple(args.reference) if args.reference else None, vocabulary=voc, ignore_case=args.ignore_case, include_dynamic=args.include_dynamic_references)
+    counts = publish_contracts(store, made, spark=spark, listing=(args.root, before))
+    if not args.quiet:
+        print(json.dumps(counts), duration(time.time() - began))
     return 2 if args.strict and counts["diagnostics"] else 0
 
 
@@ -70,7 +79,7 @@ def _report(spark, args) -> int:
     from lodeline.sources.store import Store
 
     store = Store(spark, args.store)
-    made = Contracts({n: store.table(n) for n in store._current()["tables"]}, store.metadata())
+    made = Contracts({n: store.table(n) for n in store.names()}, store.metadata())
     text = report.contracts_json(made) if args.format == "json" else report.contracts_markdown(made)
     Path(args.output).write_text(text, encoding="utf-8") if args.output else print(text)
     return 0
@@ -117,12 +126,15 @@ def _trace(spark, args) -> int:
 def _inspect(spark, args) -> int:
     from lodeline.plans import census
 
-    rows = census.inspected(spark, args.root, config=read_config(args.rules_config), variables=_variables(args.path_var))
+    config = read_config(args.rules_config)
+    rows = census.inspected(spark, args.root, config=config, variables=_variables(args.path_var))
     tables = census.census(rows, max_samples=args.max_samples)
     out = Path(args.output)
     out.mkdir(parents=True, exist_ok=True)
     (out / "census.md").write_text(census.census_markdown(tables), encoding="utf-8")
     (out / "census.json").write_text(json.dumps({k: [json.loads(x) for x in t.toJSON().collect()] for k, t in tables.items()}, ensure_ascii=False, indent=2), encoding="utf-8")
+    (out / "todo.md").write_text(census.todo_markdown(tables), encoding="utf-8")
+    (out / "rules-config.json").write_text(json.dumps(config, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
     return 0
 
 

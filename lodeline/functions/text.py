@@ -58,3 +58,9 @@ def cell(value: Column) -> Column:
 def sorted_json(bag: Column) -> Column:
     """A map as JSON with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(bag))))
+
+
+def duration(seconds: float) -> str:
+    """Hours, minutes and seconds, the leading ones left out while they are zero."""
+    hours, rest = divmod(max(0, int(seconds)), 3600)
+    return f"{hours}h {rest // 60:02d}m {rest % 60:02d}s" if hours else f"{rest // 60}m {rest % 60:02d}s" if rest >= 60 else f"{rest}s"

@@ -197,3 +197,13 @@ def census_markdown(tables: dict[str, DataFrame]) -> str:
         lines += [f"### {r['code']} ({r['severity']}, {r['n']})", "", f"{r['impact']} {r['action']}", ""]
         lines += [f"- {s['file']}:{s['line']} {s['details']}" for s in r["samples"]] + [f"- … {r['more']} more"] * (r["more"] > 0) + [""]
     return "\n".join(lines)
+
+
+def todo_markdown(tables: dict[str, DataFrame]) -> str:
+    """What is left to adapt: unknown classes by frequency, then findings by severity."""
+    lines = ["# To adapt", ""]
+    unknown = tables["classes"].where("category IN ('unknown', 'component_class_only')").orderBy(F.desc("n"), F.lower("class"))
+    lines += [f"- [ ] `{r['class']}` ({r['n']}): confirm what it reads, writes and controls" for r in unknown.collect()]
+    rank = rollup.ranked(F.col("severity"), ["error", "warning"])
+    lines += [f"- [ ] {r['code']} ({r['n']}): {r['action']}" for r in tables["findings"].orderBy(rank, "code").collect()]
+    return "\n".join(lines) + "\n"

@@ -103,6 +103,33 @@ class Enclosure:
         return f"UNCLOSED {n[0]} {n[1]}" if any(n) else None
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(file, mark) of every rule file, read now: a mark is the file's length and time. No content is read."""
+    rows = files(spark, root).select("file", F.concat_ws(":", "length", F.col("modified").cast("double")).alias("mark"))
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
+def cached_tags(spark: SparkSession, store, contents: DataFrame, **options) -> DataFrame:
+    """Tags of (file, content) rows, lexing only contents that the store has not seen.
+
+    The cache is keyed by the SHA-256 of a content and the options it is read with, so a file that moves, or comes back,
+    is found again. Contents that are gone from the corpus leave the cache.
+    """
+    voc, how = options.get("vocabulary"), {k: v for k, v in sorted(options.items()) if k != "vocabulary"}
+    key = F.sha2(F.concat(F.col("content"), F.encode(F.lit(f"{how} {voc.signature() if voc else ''}"), "utf-8")), 256)
+    asked = contents.select("file", "content", key.alias("content_key"))
+    schema = T.StructType([T.StructField("content_key", T.StringType()), *(f for f in TAG if f.name != "file"), T.StructField("lexed", T.BooleanType())])
+    old = store.table("tags", schema)
+    new = asked.dropDuplicates(["content_key"]).join(old.select("content_key").distinct(), "content_key", "left_anti")
+    lexed = tags(new.select(F.col("content_key").alias("file"), "content"), **options).withColumnRenamed("file", "content_key").withColumn("lexed", F.lit(True))
+    # A content without any tag leaves a row as well, so that it is not lexed again.
+    blank = new.select("content_key", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("content_key", "lexed")), F.lit(False).alias("lexed"))
+    kept = old.join(asked.select("content_key").distinct(), "content_key", "left_semi")
+    store.publish({"tags": kept.select(*schema.names).unionByName(lexed.select(*schema.names)).unionByName(blank)})
+    found = store.table("tags").where("lexed").drop("lexed")
+    return asked.select("file", "content_key").join(found, "content_key").select(*TAG.names)
+
+
 def tags(contents: DataFrame, *, names: tuple[str, ...] | None = None, vocabulary: Vocabulary | None = None, references: tuple[str, ...] = (), ignore_case: bool = False, only_hits: bool = False) -> DataFrame:
     """Tags of (file, content) rows. A file that cannot be read gives one row without a name and with the error.
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline.operators.resolve import fingerprint_diff
+
 
 class Store:
     """folder/versions/<id>/<table> and folder/current, which names the version that counts.
@@ -35,21 +37,36 @@ class Store:
     def metadata(self) -> dict[str, str]:
         return self._current()["metadata"]
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
-        """A table of the current version; with a schema an empty one where there is none."""
+    def names(self) -> list[str]:
+        return self._current()["tables"]
+
+    def table(self, name: str, schema=None) -> DataFrame:
+        """A table of the current version. With a schema: an empty one where there is none, and where an older version
+        lacks columns these are null."""
         now = self._current()
         if name not in now["tables"]:
             if schema is None:
                 raise KeyError(name)
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.folder}/versions/{now['version']}/{name}")
+        have = self.spark.read.parquet(f"{self.folder}/versions/{now['version']}/{name}")
+        if schema is None:
+            return have
+        wanted = self.spark.createDataFrame([], schema).schema
+        return have.select(*(F.col(f.name) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
+
+    def reset(self) -> None:
+        """Forget everything."""
+        self.fs.delete(self._path(self.folder), True)
 
-    def publish(self, tables: dict[str, DataFrame], metadata: dict[str, str] | None = None, checks: dict[str, DataFrame] | None = None) -> str:
-        """Write a version and make it current. checks: tables that must be empty, for instance orphaned rows."""
+    def publish(self, tables: dict[str, DataFrame], metadata: dict[str, str] | None = None, checks: dict[str, DataFrame] | None = None, files: int | None = None) -> str:
+        """Write a version and make it current. checks: tables that must be empty, for instance orphaned rows.
+
+        files: at most so many files a table, for tables that are small and read often.
+        """
         version = uuid.uuid4().hex
         root = f"{self.folder}/versions/{version}"
         for name, df in tables.items():
-            df.write.parquet(f"{root}/{name}")
+            (df.coalesce(files) if files else df).write.parquet(f"{root}/{name}")
         for name, bad in (checks or {}).items():
             if not bad.isEmpty():
                 self.fs.delete(self._path(root), True)
@@ -75,11 +92,20 @@ def orphans(rows: DataFrame, owners: DataFrame, *keys: str) -> DataFrame:
     return rows.join(owners.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def publish_contracts(store: Store, made, *, spark: SparkSession) -> dict:
-    """Publish a build's tables; a build with files that failed is refused."""
+def publish_contracts(store: Store, made, *, spark: SparkSession, listing: tuple[str, DataFrame] | None = None) -> dict:
+    """Publish a build's tables; a build with files that failed is refused.
+
+    listing: the root and the files as they were listed before the build; files that have changed since are refused too.
+    """
     from lodeline.plans.contracts import summary
+    from lodeline.sources.corpus import listing as listed
 
     counts = summary(made)
+    if listing is not None:
+        root, before = listing
+        moved = fingerprint_diff(before, listed(spark, root), "file", "mark").where("status <> 'CACHED'")
+        if not moved.isEmpty():
+            raise ValueError(f"files changed while they were scanned; run again after writes stop: {moved.limit(5).collect()}")
     if counts["files_failed"]:
         raise ValueError("files could not be read; the tables that are published stay")
     who = made.caller_references.select(F.struct("caller_file", "tag_offset").alias("reference"))

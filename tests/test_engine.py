@@ -162,6 +162,7 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["trace", root, "--request", str(out / "next.json"), "--output", str(tmp_path / "again"), "--strict"], spark) == 2
     assert main(["trace", root, "--eid", "missing"], spark) == 1
     assert main(["inspect", root, "--output", str(tmp_path / "c")], spark) == 0
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["census.json", "census.md", "rules-config.json", "todo.md"]
     assert main(["build", root, "--integrator", "Api.ifp", "--store", f"file://{tmp_path}/st"], spark) == 0
     assert main(["report", "--store", f"file://{tmp_path}/st", "--output", str(tmp_path / "r.md")], spark) == 0
 
@@ -207,3 +208,43 @@ def test_closure_walks_and_rounds(spark, sent):
     got = sorted(tuple(r) for r in reach(spark, seeds, edges, stop=stop, sent_edges=sent).collect())
     assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (6, 6), (9, 9)]
     assert reach(spark, seeds, edges.limit(0), sent_edges=sent).count() == 3
+
+
+def test_parse_cache_is_by_content(spark, tmp_path):
+    from lodeline.sources import corpus
+
+    root = tmp_path / "c"
+    clinic(root)
+    store = Store(spark, f"file://{tmp_path}/cache")
+    plain = corpus.tags(corpus.files(spark, str(root))).count()
+    read = lambda: corpus.cached_tags(spark, store, corpus.files(spark, str(root)))
+    assert read().count() == plain == read().count()
+    (root / "Desk.IFP").rename(root / "Moved.ifp")
+    (root / "Twin.ifp").write_bytes((root / "Moved.ifp").read_bytes())
+    got = read()
+    assert got.count() == corpus.tags(corpus.files(spark, str(root))).count()
+    assert got.where("file LIKE '%Desk%'").count() == 0 and got.where("file LIKE '%Twin%'").count() > 0
+
+
+def test_store_grows_columns_and_refuses_moved_files(spark, made, tmp_path):
+    from lodeline.sources import corpus
+
+    store = Store(spark, f"file://{tmp_path}/g")
+    store.publish({"t": spark.range(3)}, files=1)
+    assert store.table("t", "id long, more string").where("more IS NULL").count() == 3
+    with pytest.raises(ValueError):
+        store.publish({"t": spark.range(5)}, checks={"none": spark.range(1)})
+    assert store.table("t").count() == 3 and store.names() == ["t"]
+    root = lineage(tmp_path / "moving")
+    before = corpus.listing(spark, root)
+    (tmp_path / "moving" / "Api.ifp").write_text("<Phase/>")
+    with pytest.raises(ValueError, match="changed"):
+        publish_contracts(store, made, spark=spark, listing=(root, before))
+    store.reset()
+    assert store.names() == []
+
+
+def test_duration():
+    from lodeline.functions.text import duration
+
+    assert [duration(x) for x in (5, 65, 3725)] == ["5s", "1m 05s", "1h 02m 05s"]
