@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.config import BRANCHES, Semantics, Vocabulary, vocabulary
-from lodeline.operators import rollup
+from lodeline.operators import closure, rollup
 from lodeline.plans.expand import Effects, Node, Source, component_paths, ends_with, filled, selector, truthy
 from lodeline.plans.trace import relative
 from lodeline.sources import corpus
@@ -151,6 +151,7 @@ def _class(n: Node) -> str:
 
 def inspected(spark: SparkSession, root: str, *, config: dict | None = None, variables: dict[str, str] | None = None) -> DataFrame:
     """Rows of kind file, rule and finding of a corpus."""
+    closure.shared_folder(spark)  # where checkpoints go
     voc, semantics = vocabulary(config or {}), Semantics(config or {})
     contents = corpus.files(spark, root).select(relative(F.col("file"), root).alias("file"), "content")
     names = [f.split()[0] for f in KIND.split(",")]

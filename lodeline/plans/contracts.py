@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.config import MAPPING_SUFFIXES, Vocabulary
-from lodeline.operators import resolve
+from lodeline.operators import closure, resolve
 from lodeline.sources import corpus
 from lodeline.sources.corpus import ending, value
 
@@ -215,6 +215,7 @@ def links(calls: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame
 
 def build(spark: SparkSession, root: str, integrator_file: str, references: tuple[str, ...] | str | None = None, *, vocabulary: Vocabulary | None = None, ignore_case: bool = False, include_dynamic: bool = False, only: DataFrame | None = None) -> Contracts:
     """Contracts of the integrator and of the corpus below root. `only`: files (file) to look for callers in."""
+    closure.shared_folder(spark)  # where checkpoints go
     vocabulary = vocabulary or Vocabulary()
     base = integrator_file.replace("\\", "/").rpartition("/")[2]
     asked = (references,) if isinstance(references, str) else tuple(references or (base,))
@@ -264,6 +265,7 @@ def refresh(spark: SparkSession, store, root: str, integrator_file: str, referen
     remembered, so the store stays a slice of the corpus; the others are searched again, which needs no table of them.
     Rows of files that changed or vanished go, links are made anew, and the version is published as a whole.
     """
+    closure.shared_folder(spark)
     asked = build(spark, root, integrator_file, references, only=spark.createDataFrame([], "file string"), **options)
     signature = asked.metadata["reference_signature"]
     now = corpus.files(spark, root).select("file", F.concat_ws(":", "length", F.col("modified").cast("double")).alias("mark"))
