@@ -103,18 +103,29 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_group(rows: DataFrame, key: str, spread: str, best, *, salts: int = 32) -> DataFrame:
-    """rows with `best` (struct of aggregates named by the caller) of its key's group, without gathering a group.
+SALTS = 32
 
-    A hot key is dealt over `salts` parts by a hash of `spread`: each part is aggregated alone, the parts' results are
+
+def salt(spread: str):
+    """The part of its key's rows that a row is dealt to."""
+    return F.pmod(F.xxhash64(spread), F.lit(SALTS))
+
+
+def group_totals(rows: DataFrame, key: str, spread: str, best) -> DataFrame:
+    """(key, _salt, totals) for every part of a key that has rows, without gathering a group.
+
+    A hot key is dealt over SALTS parts by a hash of `spread`: each part is aggregated alone, the parts' results are
     aggregated again, and the total comes back to the parts, so that no task holds more than a salt's share of a key.
     best: list of (partial aggregate, final aggregate over the partial's column, name).
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    part = salted.groupBy(key, "_salt").agg(*(p.alias(n) for p, _, n in best))
+    part = rows.withColumn("_salt", salt(spread)).groupBy(key, "_salt").agg(*(p.alias(n) for p, _, n in best))
     total = part.groupBy(key).agg(*(f(n).alias(n) for _, f, n in best))
-    back = part.select(key, "_salt").join(total, key)
-    return salted.join(back, [key, "_salt"]).drop("_salt")
+    return part.select(key, "_salt").join(total, key)
+
+
+def with_group(rows: DataFrame, key: str, spread: str, best) -> DataFrame:
+    """rows with the totals of their key's group; see group_totals. rows are read twice, so they should be a table."""
+    return rows.withColumn("_salt", salt(spread)).join(group_totals(rows, key, spread, best), [key, "_salt"]).drop("_salt")
 
 
 class Forest:

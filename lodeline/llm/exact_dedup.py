@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import SPACES, Scratch, shuffle_width, table, with_group
+from lodeline.llm.common import SPACES, Scratch, salt, shuffle_width, table, with_group
 
 MERGE = "merge"
 
@@ -63,7 +63,7 @@ class DigestIndex:
         self.append(winners)
         sized = with_group(keyed, "digest", "doc_id", [(F.count("*"), F.sum, "group_size")])
         # One row per digest and salt meets the index, then the rows of that part: no task holds a whole hot group.
-        salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)))
+        salted = sized.withColumn("salt", salt("doc_id"))
         owners = salted.select("digest", "salt").distinct().join(self.rows().select("digest", "keep_id").hint(MERGE), "digest")
         out = salted.join(owners, ["digest", "salt"])
         return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

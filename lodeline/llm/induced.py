@@ -13,7 +13,6 @@ buckets, 16 to 24 bytes a suffix, are on disk.
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator

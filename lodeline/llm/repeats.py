@@ -19,7 +19,6 @@ with a null doc_id are left as they are. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -6,7 +6,8 @@ digested while it streams, and the digests in the headers are verified; no recor
 bytes, and no file is read whole.
 
 Defined results: null html is an empty payload; a page_id repeated with the same html is written each time, as response
-if it is the group's largest; a null page_id loses to any other and is written as `null`. No rows: no archive, no rows
+if it is the group's largest; a null page_id loses to any other and is written as `null`, as a revisit of the group's
+largest where there is one. No rows: no archive, no rows
 read. Truncated members, bad framing and wrong digests raise `BadRecord`.
 """
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, shuffle_width, table, with_group
+from lodeline.llm.common import Scratch, group_totals, salt, shuffle_width, table, text_batches
 from lodeline.llm.files import open_read, open_write
 
 PAGE = "urn:lodeline:page:"
@@ -38,14 +39,21 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
-    """One record, uncompressed. A revisit keeps the HTTP headers (with the full payload's length) and no payload."""
-    digest = base32_sha1(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+def record(page_id, url: str | None, payload: bytes) -> bytes:
+    """A response record, uncompressed."""
+    return _framed(page_id, url, base32_sha1(payload), len(payload), payload, [])
+
+
+def revisit(page_id, url: str | None, digest: str, size: int, refers_to) -> bytes:
+    """A revisit record: the HTTP headers, with the full payload's length, and no payload."""
+    return _framed(page_id, url, digest, size, b"", [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{PAGE}{refers_to}>"])
+
+
+def _framed(page_id, url, digest: str, size: int, body: bytes, more: list[str]) -> bytes:
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + body
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Type: {'revisit' if more else 'response'}",
         f"WARC-Record-ID: <{PAGE}{'null' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + " ".join((url or "urn:lodeline:no-url").split()),
@@ -53,9 +61,8 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
+        *more,
     ]
-    if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{PAGE}{refers_to}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -172,22 +179,33 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 0, fil
     Pages with equal payloads of at least `least_revisit` bytes share one response, that of the largest page_id.
     A lost task writes new files when it runs again; only files in the kept rows count.
     """
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha", F.unhex(F.sha1("payload")))
-    planned = with_group(rows, "sha", "page_id", [(F.max("page_id"), F.max, "owner")])
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Members are made before the shuffle, which then moves compressed bytes.
+        for pdf in batches:
+            out = []
+            for pid, url, html, sha, at in zip(pdf["page"], pdf["url"], pdf["html"], pdf["sha"], pdf["_salt"]):
+                payload = html.encode("utf-8", "surrogatepass")
+                pid, url = _text(pid), _text(url)
+                out.append((pid, url, sha, at, len(payload), gzip_member(record(pid, url, payload))))
+            yield pd.DataFrame(out, columns=["page", "url", "sha", "_salt", "size", "member"])
+
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    owners = group_totals(rows.select("page_id", "sha"), "sha", "page_id", [(F.max("page_id"), F.max, "owner")])
+    # Ids as text: pandas would round large ids to floats next to nulls.
+    text = rows.select(F.col("page_id").cast("string").alias("page"), "url", "html", "sha", salt("page_id").alias("_salt"))
+    members = text.mapInPandas(packed, "page string, url string, sha binary, _salt long, size long, member binary")
+    planned = members.join(owners, ["sha", "_salt"])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = path = None
         n = size = 0
         done = []
         for pdf in batches:
-            for pid, url, payload, owner in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["owner"]):
-                pid, owner = (None if pd.isna(x) else int(x) for x in (pid, owner))
-                revisit = len(payload) >= least_revisit and pid != owner
-                data = gzip_member(record(pid, url, bytes(payload), owner, revisit))
+            for pid, url, sha, n_bytes, member, owner in zip(pdf["page"], pdf["url"], pdf["sha"], pdf["size"], pdf["member"], pdf["owner"]):
+                pid, url, owner = _text(pid), _text(url), _text(owner)
+                again = n_bytes >= least_revisit and pid != owner
+                data = gzip_member(revisit(pid, url, base64.b32encode(sha).decode(), n_bytes, owner)) if again else member
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     out, n, size = open_write(path), 0, 0
@@ -202,9 +220,13 @@ def write_archives(pages: DataFrame, folder: str, *, least_revisit: int = 0, fil
             done.append((path, n, size))
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    # Ids as text: pandas would round large ids to floats next to nulls.
-    ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "owner")]
-    return planned.select(*ids, "url", "payload").mapInPandas(write, "path string, records long, bytes long")
+    text_batches(pages.sparkSession)
+    owner = F.col("owner").cast("string").alias("owner")
+    return planned.select("page", "url", "sha", "size", "member", owner).mapInPandas(write, "path string, records long, bytes long")
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_rollup_maintains_totals(spark, tmp_path, empty):
 
 def pages(spark):
     html = ["<p>x</p>", "<p>x</p>", None, "", "é" * 3000, "<p>x</p>", "y"]
-    rows = [(k, f"http://h.test/{k}\r\nX: 1", h) for k, h in enumerate(html)] + [(None, None, "y"), (6, "http://h.test/6", "y")]
+    rows = [(k, f"http://h.test/{k}\r\nX: 1", h) for k, h in enumerate(html)] + [(None, None, "y"), (None, None, "alone"), (6, "http://h.test/6", "y")]
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
@@ -134,6 +134,7 @@ def test_warc_round_trip(spark, tmp_path):
         texts = {i: h or "" for i, _, h in rows if i is not None}
         for r in got:
             if r["page_id"] is None:
+                assert r["refers_to"] in (None, 6)
                 continue
             text = texts[r["page_id"]]
             owner = max(by_text[text])
@@ -147,7 +148,7 @@ def test_warc_reader_checks():
     import io
 
     one = warc.record(7, "u", b"payload " * 500)
-    file = warc.gzip_member(one) + warc.gzip_member(warc.record(8, "u", b"", 7, True))
+    file = warc.gzip_member(one) + warc.gzip_member(warc.revisit(8, "u", warc.base32_sha1(b"x"), 1, 7))
     for step in (1, 7, 1 << 16):
         got = list(warc.read_records(io.BytesIO(file), step, payloads=True))
         assert [r["payload"] for r in got] == [b"payload " * 500, b""]
