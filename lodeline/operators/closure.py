@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def _walk(back: dict):
+def _walk(sent):
     """Seeds of a partition to the pairs (seed, node) they reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +35,7 @@ def _walk(back: dict):
             for seed in pdf["seed"].tolist():
                 done, todo = {seed}, [seed]
                 while todo:
-                    for n in back.get(todo.pop(), ()):
+                    for n in sent.value.get(todo.pop(), ()):
                         if n not in done:
                             done.add(n)
                             todo.append(n)
@@ -64,10 +64,12 @@ def reach(spark: SparkSession, seeds: DataFrame, edges: DataFrame, *, stop: Data
     steps = keep(steps, "edges")
     starts = seeds.select("seed").distinct()
     if steps.count() <= sent_edges:
-        pairs = steps.toPandas()
-        back = pairs.groupby("at")["to"].agg(list).to_dict() if len(pairs) else {}
+        pairs, back = steps.toPandas(), {}
+        for at, to in zip(pairs["at"].tolist(), pairs["to"].tolist()):
+            back.setdefault(at, []).append(to)
+        sent = spark.sparkContext.broadcast(back)
         kind = starts.schema["seed"].dataType.simpleString()
-        return starts.mapInPandas(_walk(back), f"seed {kind}, node {kind}")
+        return starts.mapInPandas(_walk(sent), f"seed {kind}, node {kind}")
     new = keep(starts.select("seed", F.col("seed").alias("node")), "0")
     done = [f"{root}/0"]
     for k in range(1, most + 1):
