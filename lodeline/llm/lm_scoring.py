@@ -4,9 +4,9 @@ Counts: one pass over the training rows counts every word; all counts, totals an
 HEAD most frequent tokens are the model's head words, in classes by rank; every other word, unseen ones included, is in a
 tail class by its letters, and its probability there is (c + 0.5) / (N_class + 0.5 * (V_class + 1)).
 
-Training: a common start is fitted on at most START_DOCS rows (a documented bound), then every task trains on the SHARE
-of its training rows that a hash picks, and the tasks' networks are averaged, weighted by tokens, block by block on the
-executors. SHARE is a rate, so what is learnt from grows with the input; only the averaged network comes to the driver.
+Training: a common start is fitted on at most START_DOCS rows (a documented bound), then every task trains on all of its
+training rows (SHARE is 1), and the tasks' networks are averaged, weighted by tokens, block by block on the executors.
+Only the averaged network comes to the driver.
 
 Scoring: one pass. Words among the KNOWN most frequent (a bounded table that tasks hold) are scored at once; the rest
 leave a row per document and word that meets its count by a join, so no vocabulary is ever held whole.
@@ -35,7 +35,7 @@ from lodeline.llm.recurrent import Net, Shape, Trainer, flatten, fresh, unflatte
 #: The end of a document among words, which never hold a line feed.
 END = b"\n"
 FOLDS, HELD_OUT = 5, 1
-KNOWN, START_DOCS, SHARE = 150_000, 1500, 0.25
+KNOWN, START_DOCS, SHARE = 150_000, 1500, 1.0
 PART = 4096
 LN10 = float(np.log(10))
 

@@ -63,6 +63,14 @@ def test_lm_odd_rows(spark, docs, corpus):
     assert len(got) == len(corpus) and all(np.isfinite(r["score"]) for r in got)
 
 
+def test_lm_learns_from_every_training_row(spark, plain):
+    def scores(**options):
+        rows = lm_scoring.score_documents(spark, plain, shape=recurrent.Shape(4, 4, 32, 8), known=40, start_docs=5, **options).collect()
+        return np.array([r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])])
+
+    assert np.allclose(scores(), scores(share=1.0), rtol=1e-5)
+
+
 def test_tail_probabilities_sum_to_one():
     s = recurrent.Shape(2, 2, 32, 4)
     known = [(f"w{k}".encode(), 20 - k) for k in range(12)]
