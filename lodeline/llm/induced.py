@@ -7,8 +7,9 @@ in the scan) holds the induced tuples. Places rise with time, so a queue is a ru
 bound and appended to files beyond it, and read back in order. Two suffixes of one bucket share one character more than
 the suffixes they were induced from, whose common prefix is the least value between their places in the scan.
 
-Common-prefix values are kept up to a cap (one byte). The text and one byte a suffix stay in memory; tuples and sorted
-buckets, 16 to 24 bytes a suffix, are on disk.
+Common-prefix values are kept up to a cap (one byte). The text and working arrays, roughly 30 bytes a suffix (types, run
+ends, seeds, the scan and the caller's order), stay in memory; tuples and sorted buckets, 16 to 24 bytes a suffix, are on
+disk.
 """
 
 from __future__ import annotations

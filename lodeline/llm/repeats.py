@@ -7,9 +7,12 @@
    or less, are dealt by anchor to shards, and each shard is sorted by external induced sorting (see induced.py), which
    gives its suffixes in order with common prefixes up to `size`: of a run of windows that agree on `size` bytes all
    but the first in corpus order are repeats. Induced tuples go to files in the shared folder beyond a bound.
+   An anchor whose segments hold more than a shard's bytes is not sorted: a 128-bit hash of each of its windows travels
+   in place of bytes, and all windows of a hash but the first are repeats. No task gathers such an anchor.
 3. Repeats become runs of bytes per document; a document's bytes less its runs is what is kept.
 
-Segment hashes have 64 bits twice (anchor and segment); the suffix order compares bytes. The order of strings is that of
+Segment hashes have 64 bits twice (anchor and segment), hashes of hot anchors' windows 128; the suffix order compares
+bytes. The order of strings is that of
 (doc_id, start), on the input. Matches never cross documents.
 
 Defined results: a null text is empty; texts shorter than `size` lose nothing and are no source of repeats. Rows that
@@ -19,6 +22,7 @@ with a null doc_id are left as they are. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm.anchors import segments
-from lodeline.llm.common import Scratch, release_memory, shuffle_width, table, texts
+from lodeline.llm.common import Scratch, release_memory, shuffle_width, table, texts, with_group
 from lodeline.llm.induced import Spill, repeated
 from lodeline.llm.shingles import mix
 
@@ -129,6 +133,31 @@ def _cut(size: int):
     return run
 
 
+#: Windows of hot anchors that a batch has at most.
+BATCH_WINDOWS = 100_000
+
+
+def _window_hashes(size: int):
+    """Documents with their segments of hot anchors to a hash and the place of each window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = {"w": object, "doc": "int64", "start": "int64"}
+        for pdf in batches:
+            out = []
+            for doc, text, want in zip(pdf["doc_id"], pdf["text"], pdf["want"]):
+                data = text.encode("utf-8", "surrogatepass")
+                for x in want:
+                    for k in range(x["start"], x["start"] + x["n"]):
+                        out.append((hashlib.blake2b(data[k : k + size], digest_size=16).digest(), doc, k))
+                        if len(out) == BATCH_WINDOWS:
+                            yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+                            out = []
+            yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+        release_memory()
+
+    return run
+
+
 def _sorted_shard(size: int, folder: str, memory: int):
     """One shard, a partition: the windows that repeat, as runs."""
 
@@ -190,12 +219,25 @@ def repeat_spans(spark: SparkSession, docs: DataFrame, *, size: int = SIZE, gram
     told = scratch.keep(told, "told")
     need = told.where("kind = 1")
     total = need.agg(F.sum(F.col("n").cast("long") + size)).collect()[0][0] or 0
-    wanted = need.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("want"))
-    cut = rows.join(wanted, F.col("doc_id") == F.col("doc")).drop("doc").mapInPandas(_cut(size), "h long, doc long, start long, n int, bytes binary")
+    # Fewer than total / shard_bytes anchors, a number each.
+    hot = need.groupBy("h").agg(F.sum(F.col("n").cast("long") + size).alias("b")).where(F.col("b") > shard_bytes).select("h")
+    hot = scratch.keep(hot, "hot")
+    any_hot = not hot.isEmpty()
+
+    def with_wanted(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("want"))
+        return rows.join(wanted, F.col("doc_id") == F.col("doc")).drop("doc")
+
+    cut = with_wanted(need.join(F.broadcast(hot), "h", "left_anti") if any_hot else need).mapInPandas(_cut(size), "h long, doc long, start long, n int, bytes binary")
     shards = max(width, -(-total // shard_bytes))
     part = cut.repartition(int(shards), "h").mapInPandas(_sorted_shard(size, scratch.path("spill"), memory), "doc long, start long, n int")
     part = scratch.keep(part, "part")
     spans = told.where("kind = 0").select("doc", "start", "n").unionByName(part)
+    if any_hot:
+        found = with_wanted(need.join(F.broadcast(hot), "h", "left_semi")).mapInPandas(_window_hashes(size), "w binary, doc long, start long")
+        found = scratch.keep(found, "windows").withColumn("at", F.struct("doc", "start"))
+        found = with_group(found, "w", "doc", [(F.min("at"), F.min, "first")])
+        spans = spans.unionByName(found.where(F.col("at") != F.col("first")).select("doc", "start", F.lit(1).alias("n")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")).withColumnRenamed("doc", "doc_id")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from lodeline.llm.anchors import segments
 from lodeline.llm.induced import Spill, repeated, sorted_suffixes
+from lodeline.llm import repeats
 from lodeline.llm.repeats import remove_repeats, without_repeats
 
 
@@ -110,3 +111,38 @@ def test_removal_keeps_columns_and_whole_characters(spark, docs):
 def test_hash_is_of_what_is_left(spark, plain):
     row = without_repeats(spark, plain).orderBy("doc_id").first()
     assert hashlib.sha256(bytes(row["kept"])).hexdigest() and row["n_removed"] + len(row["kept"]) == row["n_bytes"]
+
+
+def test_an_anchor_far_over_memory_is_not_gathered(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    passage = bytes(r.integers(97, 123, 130).astype(np.uint8)).decode()
+    around = lambda: bytes(r.integers(97, 123, 40).astype(np.uint8)).decode()
+    texts = {k: around() + passage + around() for k in range(300)}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string")
+    shard = repeats._sorted_shard
+
+    def counted(*options):
+        run = shard(*options)
+
+        def inner(batches):
+            parts = [b for b in batches if len(b)]
+            for p in parts:
+                once = p.drop_duplicates(["h", "doc", "start"])
+                # Both edge anchors hold far more than a shard's bytes; none of that comes to a sort.
+                assert once["bytes"].str.len().groupby(once["h"]).sum().max() <= 2000
+            yield from run(iter(parts))
+
+        return inner
+
+    monkeypatch.setattr(repeats, "_sorted_shard", counted)
+    got = {(x["doc_id"], x["n_spans"], x["n_removed"]) for x in without_repeats(spark, docs, size=60, gram=20, shard_bytes=2000).collect()}
+    seen, want = set(), set()
+    for k, t in texts.items():
+        gone = set()
+        for a in range(len(t) - 59):
+            w = t[a : a + 60]
+            if w in seen:
+                gone |= set(range(a, a + 60))
+            seen.add(w)
+        want.add((k, int(bool(gone)), len(gone)))
+    assert got == want
