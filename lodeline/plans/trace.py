@@ -1,8 +1,8 @@
 """Lineage of targets over a corpus: which files a target can reach, expansion per target, and its relations.
 
 Files a target can reach are found first, as a closure over the call edges of all files (a join per round). Then each
-target's files come together in one group, whose size the limit of files bounds, and the expansion, the slice and the
-assessment run there; targets are independent of each other and run side by side.
+target's reachable files come together in one group, the limit of files bounds how many are opened in the order of calls,
+and the expansion, the slice and the assessment run there; targets are independent of each other and run side by side.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from posixpath import normpath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.config import Semantics, Vocabulary, vocabulary
@@ -81,10 +81,11 @@ def trace_targets(spark: SparkSession, root: str, targets: DataFrame, *, config:
     edges = call_edges(contents, voc, semantics, variables)
     asked = targets.withColumn("file", F.regexp_replace("file", r"\\", "/"))
     reached = closure.reach(spark, asked.select(F.col("file").alias("seed")).distinct(), edges)
-    # Call targets that are not there stay behind here; of more files than a target may read the nearest by name stay.
-    order = F.row_number().over(Window.partitionBy("target_id").orderBy(F.col("node") != F.col("file"), "node"))
-    wanted = asked.join(reached, asked["file"] == reached["seed"]).withColumn("_n", order).where(F.col("_n") <= 2 * max_files)
+    # Every file that a target can reach is at hand; the expansion opens at most max_files, in the order of calls.
+    wanted = asked.join(reached, asked["file"] == reached["seed"])
     held = wanted.select("target_id", "field", "rule_eid", "entry", "scenario", F.col("file").alias("start"), F.col("node")).join(contents.withColumnRenamed("file", "node"), "node", "left")
+    # Call targets that are not there stay behind; a target's own file stays, so that the trace can say it is missing.
+    held = held.where("content IS NOT NULL OR node = start")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]

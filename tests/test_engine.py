@@ -67,6 +67,18 @@ def run(spark, root, **target):
     return got, json.loads(got.collect()[0]["evidence"])
 
 
+def test_a_file_late_in_the_alphabet_is_held(spark, tmp_path):
+    root = lineage(tmp_path / "l")
+    folder = tmp_path / "l"
+    (folder / "Api.ifp").rename(folder / "Zapi.ifp")
+    more = "".join(f'<Rule Name="Gone{k}" eid="G{k}" RuleClassName="CallComponentRule" SelectComponent="A{k:03}.ifp" ComponentList="Find"/>' for k in range(110))
+    screen = (folder / "Screen.ifp").read_text().replace("Api.ifp", "Zapi.ifp").replace("</Phase>", more + "</Phase>")
+    (folder / "Screen.ifp").write_text(screen)
+    _, e = run(spark, root, field="Desk.Title")
+    assert sorted(e["files"]) == ["Screen.ifp", "Zapi.ifp"]
+    assert "Get" in {x["name"] for x in e["events"]}
+
+
 def test_lineage_over_files(spark, tmp_path):
     root = lineage(tmp_path / "l")
     got, e = run(spark, root, field="Desk.Title")
