@@ -1,16 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 1. Examples are the labelled rows outside the held-out fifth, at most `EXAMPLES` a class (a documented bound; the rows of
-   least hash, so the choice is stable). Population shares of the classes weigh their votes.
-2. Terms are the examples' words, and words' beginnings of 4 to 6 letters, whose document share differs between the classes by a factor of RATIO or more with
-   chi-square of CHI2 or more, in LEAST_SHARE of a class's examples or more, at most TERMS of them. Only these enter
-   vectors. Examples with the same text are one.
-3. One pass over all texts leaves each document's term frequencies; document frequencies are counted over all of them.
-4. Examples are put in the index: postings by term in blocks of BLOCK examples, with each block's largest weight. A query
-   visits blocks in order of their bound and stops when no block can still enter its nearest K: results are exact, ties
-   to the smaller example.
-5. Neighbours vote with weight 1 / (1.02 - cosine); a logistic curve fitted on leave-one-out votes of the examples makes
-   the vote a probability. A document without any term gets the weighted share of toxic rows among such examples.
+   least hash, so the choice is stable). Population shares of the classes weigh their votes. Examples with the same text
+   and label are one.
+2. Every word of the examples is a term: a run of letters and digits, lower-cased. A word that no example has cannot meet
+   one, so it is no term. A word's beginning of 4 to 6 bytes is a term of its own where it tells the classes apart: its
+   share of examples differs by a factor of RATIO or more with chi-square of CHI2 or more. Document frequencies are
+   counted over all documents in one pass that sums an array of the terms in each task.
+3. A term's weight is its inverse document frequency; terms that tell the classes apart weigh LIFT times that. No word is
+   left out.
+4. Examples are put in the index in blocks of BLOCK, alike ones together. Postings of rare terms are added up in full,
+   those of frequent terms are kept by block with each block's largest weight: a block is scored only where what rare
+   terms have given plus the largest weights could still enter a text's nearest K, so the result is exact. Ties go to the
+   example whose text has the smaller digest; doc_ids play no part.
+5. Neighbours vote with weight 1 / (1.02 - cosine); a logistic curve fitted on leave-one-out votes of the examples, which
+   are found by the tasks, makes the vote a probability. A text without any term gets the weighted share of toxic rows.
 
 Defined results: null and empty texts have no term. With no labels the score is 0.25. Several labels of a document count
 as their largest; null labels are left out. Rows with a null doc_id are scored, never learned from, and not held out.
@@ -19,44 +23,54 @@ Repeated rows get the same score. Columns other than doc_id and text are ignored
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, release_memory, table, texts
+from lodeline.llm.common import Scratch, release_memory, shuffle_width, table, texts
 
-EXAMPLES, TERMS, RATIO, CHI2, LEAST_ROWS, LEAST_SHARE = 6000, 2048, 3.0, 25.0, 5, 0.01
-BLOCK, K = 64, 16
+EXAMPLES, RATIO, CHI2, LEAST_ROWS, LIFT = 1000, 3.0, 25.0, 5, 16.0
+BEGINNINGS = (4, 5, 6)
+BLOCK, K = 32, 16
+#: Share of the examples from which on a term's postings are kept as rows of its blocks.
+FREQUENT = 0.06
 HELD_OUT = 5
-_TERM = re.compile(r"\w+")
+#: Bytes that end a word: ASCII other than letters and digits.
+_BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Cosines are compared in steps of 1e-12, so equal ones that were summed in another order tie.
+STEP, RANKS = 1e-12, 1 << 16
+#: Terms whose counts travel in one row.
+PART = 8192
 
 
-def word_terms(word: str) -> list[str]:
-    """A word and its longer beginnings, marked so that they differ from words: inflected forms share a beginning."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+def term_counts(text: str) -> Counter:
+    return Counter(text.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split())
 
 
-def terms(text: str) -> set[str]:
-    return {t for w in set(_TERM.findall(text.lower())) for t in word_terms(w)}
+class Beginnings:
+    """Beginnings of words that are terms, written with a mark that no word has."""
 
+    def __init__(self, chosen: list[bytes]):
+        self.chosen, self.heads = set(chosen), {m[: BEGINNINGS[0]] for m in chosen}
 
-class _TermIds(dict):
-    """word -> ids of the chosen terms that it brings; bounded."""
+    @staticmethod
+    def of(word: bytes) -> list[bytes]:
+        return [word[:n] + b"*" for n in BEGINNINGS if len(word) > n]
 
-    def __init__(self, ids: dict[str, int]):
-        super().__init__()
-        self.ids = ids
-
-    def __missing__(self, word: str) -> tuple:
-        if len(self) > 300_000:
-            self.clear()
-        got = self[word] = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
-        return got
+    def add(self, counts: Counter) -> Counter:
+        """Counts of words with those of the chosen beginnings added."""
+        if self.heads:
+            n, heads = BEGINNINGS[0], self.heads
+            for w in [w for w in counts if w[:n] in heads]:
+                for m in self.of(w):
+                    if m in self.chosen:
+                        counts[m] += counts[w]
+        return counts
 
 
 def _remainder(doc_id: str):
@@ -64,7 +78,7 @@ def _remainder(doc_id: str):
 
 
 def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, toxic, text) of the examples, and how many labelled rows there are of each class."""
+    """(doc_id, toxic, text, same) of the examples, and how many labelled rows there are of each class."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(_remainder("doc_id") != 0)
@@ -75,114 +89,179 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[
         part = by_hash.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most).select("doc_id", "toxic")
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * most ids: a bounded broadcast, so the texts are not shuffled.
-    found = texts(docs).join(F.broadcast(chosen), "doc_id")
-    return found.withColumn("same", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["same", "toxic"]).drop("same"), sizes
+    return texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("same", F.sha2(F.col("text").cast("binary"), 256)), sizes
 
 
-def choose_terms(sample: DataFrame) -> list[str]:
-    """Terms that tell the classes apart, by falling chi-square."""
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Examples' distinct words and how often they occur."""
+    for pdf in batches:
+        found = [term_counts(t) for t in pdf["text"]]
+        yield pdf[["doc_id", "toxic", "same"]].assign(word=[list(c) for c in found], tf=[list(c.values()) for c in found])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen = {0: Counter(), 1: Counter()}
-            for y, t in zip(pdf["toxic"], pdf["text"]):
-                seen[int(y)].update(terms(t))
-            for y, c in seen.items():
-                if c:
-                    yield pd.DataFrame({"term": list(c), "toxic": y, "n": list(c.values())})
-        release_memory()
 
-    total = sample.agg(F.sum("toxic").alias("one"), F.count("*").alias("all")).collect()[0]
-    n1, n0 = float(total["one"] or 0), float((total["all"] or 0) - (total["one"] or 0))
-    if not n1 or not n0:
-        return []
-    by = sample.select("toxic", "text").mapInPandas(split, "term string, toxic int, n long").groupBy("term")
-    by = by.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    least = lambda n: max(LEAST_ROWS, LEAST_SHARE * n)
-    by = by.where((F.col("a") >= least(n1)) | (F.col("b") >= least(n0)))
-    ratio = (F.col("a") + 0.5) / (n1 + 1) / ((F.col("b") + 0.5) / (n0 + 1))
-    off = F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
-    rest = F.greatest(F.lit(n1 + n0) - F.col("a") - F.col("b"), F.lit(1.0))
-    chi = off * off * (n1 + n0) / ((F.col("a") + F.col("b")) * rest * n1 * n0)
-    by = by.withColumn("chi", chi).where((F.col("chi") >= CHI2) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
-    return [r["term"] for r in by.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
-
-
-def term_vectors(rows: DataFrame, chosen: list[str], keep: list[str]) -> DataFrame:
-    """`keep` columns, ids of the chosen terms in each text (ascending) and how often they occur."""
-    ids = {t: k for k, t in enumerate(chosen)}
+def document_frequencies(docs: DataFrame, terms: list[bytes], beginnings: Beginnings, most: int = 300_000) -> tuple[np.ndarray, int]:
+    """In how many rows each term occurs, and the number of rows. Tasks send sums, a few rows each."""
+    spark = docs.sparkSession
+    ids = spark.sparkContext.broadcast({w: k for k, w in enumerate(terms)})
+    size = len(terms)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seen, n = np.zeros(size, np.int64), Counter(), 0
+
+        def fold() -> None:
+            at = np.fromiter((ids.value.get(w, -1) for w in seen), np.int64, len(seen))
+            c = np.fromiter(seen.values(), np.int64, len(seen))
+            total[at[at >= 0]] += c[at >= 0]
+            seen.clear()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _TermIds(ids)
         for pdf in batches:
-            at, tf = [], []
+            n += len(pdf)
             for t in pdf["text"]:
-                n: dict[int, int] = {}
-                for w, c in Counter(_TERM.findall(t.lower())).items():
-                    for k in of[w]:
-                        n[k] = n.get(k, 0) + c
-                order = sorted(n)
-                at.append(order)
-                tf.append([n[k] for k in order])
-            yield pdf[keep].assign(term=at, tf=tf)
+                words = set(t.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split())
+                if beginnings.heads:
+                    words |= {m for w in words if w[: BEGINNINGS[0]] in beginnings.heads for m in beginnings.of(w) if m in beginnings.chosen}
+                seen.update(words)
+                if len(seen) > most:
+                    fold()
+        fold()
+        parts = [total[a : a + PART] for a in range(0, size, PART)]
+        yield pd.DataFrame({"part": np.arange(-1, len(parts)), "n": [np.array([n]), *parts]})
         release_memory()
 
-    kinds = dict(rows.dtypes)
-    return rows.select(*keep, "text").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", term array<int>, tf array<int>")
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, n in zip(pdf["part"], pdf["n"]):
+                got[k] = got[k] + n if k in got else np.array(n)
+        if got:
+            yield pd.DataFrame({"part": list(got), "n": list(got.values())})
+
+    kind = "part int, n array<long>"
+    sums = texts(docs).select("text").mapInPandas(count, kind).repartition(shuffle_width(spark), "part").mapInPandas(add, kind)
+    out, rows = np.zeros(size), 0
+    for r in sums.collect():  # a number for each word of the examples
+        if r["part"] < 0:
+            rows = r["n"][0]
+        else:
+            out[r["part"] * PART : r["part"] * PART + len(r["n"])] = r["n"]
+    return out, rows
+
+
+def tells_apart(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Whether a term of `a` among n1 toxic and `b` among n0 clean examples differs between the classes."""
+    if not n0 or not n1:
+        return np.zeros(len(a), bool)
+    ratio = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
+    off = a * (n0 - b) - b * (n1 - a)
+    chi = off * off * (n1 + n0) / (np.maximum(a + b, 1) * np.maximum(n1 + n0 - a - b, 1) * float(n1 * n0))
+    return (a + b >= LEAST_ROWS) & (chi >= CHI2) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))
+
+
+def choose_terms(words: list[set[bytes]], labels: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """All words of the examples and the beginnings that tell the classes apart, sorted; and which terms do so."""
+    seen = (Counter(), Counter())
+    for w, y in zip(words, labels.tolist()):
+        seen[y].update(w)
+        seen[y].update({m for x in w for m in Beginnings.of(x)})
+    every = sorted(seen[0].keys() | seen[1].keys())
+    b, a = (np.fromiter(map(c.__getitem__, every), float, len(every)) for c in seen)
+    apart = tells_apart(a, b, int((labels == 1).sum()), int((labels == 0).sum()))
+    keep = np.array([x or not w.endswith(b"*") for w, x in zip(every, apart)], bool)
+    return [w for w, k in zip(every, keep) if k], apart[keep]
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, postings by term and block of examples."""
+    """Unit TF-IDF vectors of examples: full postings of rare terms, postings of frequent terms by block.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray, weights: np.ndarray):
-        self.idf, self.labels, self.ids, self.weights = idf, labels, ids, weights
+    vectors: (term ids, counts) by example; weights: of each term. Examples are named by their place in the list.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, *, block: int = BLOCK, frequent: float = FREQUENT):
+        n, size = len(vectors), len(weights)
+        if n >= RANKS:
+            raise ValueError(f"more than {RANKS} examples")
+        self.weights, self.block = weights, block
         units = [self.unit(t, f) for t, f in vectors]
-        row = np.repeat(np.arange(len(units)), [len(t) for t, _ in units]).astype(np.int32)
-        term = np.concatenate([t for t, _ in units] or [np.zeros(0, int)]).astype(np.int32)
-        value = np.concatenate([v for _, v in units] or [np.zeros(0)])
+        count = np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in units)]), minlength=size)
+        # Alike ones together: by their most common term, then by their heaviest.
+        common = [int(t[count[t].argmax()]) if len(t) else -1 for t, _ in units]
+        heavy = [int(t[v.argmax()]) if len(t) else -1 for t, v in units]
+        order = np.lexsort((np.array(heavy, np.int64), np.array(common, np.int64)))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.blocks = max(1, -(-n // block))
+        self.places = self.blocks * block
+        self.example = np.append(order, np.zeros(self.places - n, np.int64))
+        row = np.repeat(place, [len(t) for t, _ in units]).astype(np.int32)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in units)])
+        value = np.concatenate([np.zeros(0), *(v for _, v in units)])
+        often = np.flatnonzero(count > frequent * n)
+        self.column = np.full(size, -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[term] >= 0
+        rows = np.zeros((self.places, len(often)))
+        rows[row[dense], self.column[term[dense]]] = value[dense]
+        #: By block: the rows of frequent terms, and each term's largest weight.
+        self.rows = rows.reshape(self.blocks, block, len(often))
+        self.most = np.ascontiguousarray(self.rows.max(axis=1).T)
+        term, row, value = term[~dense], row[~dense], value[~dense]
         by = np.lexsort((row, term))
-        self.row, self.value, term = row[by], value[by], term[by]
-        self.blocks = max(1, -(-len(units) // BLOCK))
-        cell = term.astype(np.int64) * self.blocks + self.row // BLOCK
-        # Postings of term t in block b stand at start[t * blocks + b] up to the next start.
-        self.start = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1))
-        self.most = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.most, cell, self.value)
-        self.most = self.most.reshape(len(idf), self.blocks)
+        self.row, self.value = row[by], value[by]
+        self.start = np.searchsorted(term[by], np.arange(size + 1))
 
     def unit(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = (1 + np.log(np.maximum(tf, 1))) * self.idf[term]
+        v = (1 + np.log(np.maximum(tf, 1))) * self.weights[term]
         n = np.linalg.norm(v)
         return term, v / n if n else v
 
-    def nearest(self, term: np.ndarray, tf: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine, nearest first."""
-        term, q = self.unit(term, tf)
-        bound = q @ self.most[term]
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), q.tolist()):
-                a, z = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.row[a:z] - b * BLOCK] += w * self.value[a:z]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                score[skip - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            rows = np.concatenate([best_rows, hit + b * BLOCK])
-            # Rounded, so that equal cosines summed in another order tie.
-            cos = np.concatenate([best, np.round(score[hit], 12)])
-            by = np.lexsort((rows, -cos))[:k]
-            best_rows, best = rows[by], cos[by]
-        return best_rows, best
-
-    def vote(self, term: np.ndarray, tf: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, cos = self.nearest(term, tf, skip=skip)
-        if not len(rows):
-            return float("nan"), rows, cos
-        w = self.weights[self.labels[rows]] / (1.02 - np.minimum(cos, 1))
-        return float((w * self.labels[rows]).sum() / w.sum()), rows, cos
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, skip: np.ndarray | None = None, most: int = 1 << 20) -> np.ndarray:
+        """Of each vector the k nearest examples with a positive cosine, as cosine steps * RANKS + (RANKS - 1 - example),
+        0 for none, in falling order. At most about `most` postings or places are worked at a time."""
+        out = np.zeros((len(vectors), k), np.int64)
+        cost = np.array([int((self.start[t + 1] - self.start[t]).sum()) + self.places for t, _ in vectors], np.int64)
+        at = 0
+        while at < len(vectors):
+            end = max(at + 1, at + int(np.searchsorted(np.cumsum(cost[at:]), most, side="right")))
+            out[at:end] = self._nearest(vectors[at:end], k, None if skip is None else skip[at:end])
+            at = end
+        return -np.sort(-out, axis=1)
+
+    def _nearest(self, vectors, k: int, skip) -> np.ndarray:
+        n = len(vectors)
+        q = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        w = np.concatenate([np.zeros(0), *(self.unit(t, f)[1] for t, f in vectors)])
+        col = self.column[term]
+        often = col >= 0
+        heads = np.zeros((n, self.most.shape[0]))
+        heads[q[often], col[often]] = w[often]
+        q, term, w = q[~often], term[~often], w[~often]
+        first, size = self.start[term], self.start[term + 1] - self.start[term]
+        post = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        given = np.bincount(np.repeat(q, size) * self.places + self.row[post], weights=np.repeat(w, size) * self.value[post], minlength=n * self.places)
+        given = given.reshape(n, self.blocks, self.block)
+        bound = heads @ self.most + given.max(axis=2)
+        best = np.zeros((n, k), np.int64)
+        last = np.zeros(n)  # the k-th cosine so far
+        todo = bound > 0
+        # Each text's most promising block sets a bar, then blocks are swept, the most promising first.
+        top = bound.argmax(axis=1)
+        for sweep in (0, 1):
+            for b in np.unique(top).tolist() if sweep == 0 else np.argsort(-bound.sum(axis=0), kind="stable").tolist():
+                live = np.flatnonzero(todo[:, b] & (top == b if sweep == 0 else bound[:, b] >= last - 4 * STEP))
+                if not len(live):
+                    continue
+                todo[live, b] = False
+                cos = heads[live] @ self.rows[b].T + given[live, b]
+                who = self.example[b * self.block : (b + 1) * self.block]
+                key = np.rint(cos / STEP).astype(np.int64) * RANKS + (RANKS - 1 - who)
+                key[cos < STEP] = 0
+                if skip is not None:
+                    key[skip[live][:, None] == who[None, :]] = 0
+                both = np.concatenate([best[live], key], axis=1)
+                best[live] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                last[live] = (best[live].min(axis=1) // RANKS) * STEP
+        return best
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -199,63 +278,112 @@ def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> t
 
 
 class Judge:
-    """Index, curve and the share for documents without a term."""
-
-    def __init__(self, vectors, labels, ids, idf, sizes):
-        n = np.array([max(1, (labels == 0).sum()), max(1, (labels == 1).sum())], float)
+    """Terms, index, labels and curve: what a task needs to score texts.
+
+    found: doc_id, same, toxic and counts of the examples' words; weights: of each term.
+    """
+
+    def __init__(self, terms: list[bytes], beginnings: Beginnings, weights: np.ndarray, found: pd.DataFrame, sizes: dict[int, int]):
+        self.ids, self.beginnings = {w: k for k, w in enumerate(terms)}, beginnings
+        vectors = [self.vector(c) for c in found["counts"]]
+        self.labels = found["toxic"].to_numpy(np.int64)
+        self.doc_ids = found["doc_id"].to_numpy(np.int64)
+        self.places = {x: k for k, x in enumerate(zip(found["same"], found["toxic"]))}
+        n = np.array([max(1, (self.labels == k).sum()) for k in (0, 1)], float)
         share = np.array([sizes.get(0, 0), sizes.get(1, 0)], float) / n
-        empty = np.array([len(t) == 0 for t, _ in vectors], bool)
-        w = share[labels] if len(labels) else np.zeros(0)
-        self.blank = float((w[empty] * labels[empty]).sum() + 0.5) / float(w[empty].sum() + 2)
-        kept = np.flatnonzero(~empty)
-        self.index = BlockMaxIndex([vectors[k] for k in kept], labels[kept], ids[kept], idf, share) if len(kept) else None
+        self.votes = share[self.labels] if len(found) else np.zeros(0)
+        self.blank = float((self.votes * self.labels).sum() + 0.5) / float(self.votes.sum() + 2)
+        self.index = BlockMaxIndex(vectors, weights) if len(found) else None
         self.curve = (4.0, -2.0)
-        if self.index is not None:
-            votes = np.array([self.index.vote(*vectors[k], skip=j)[0] for j, k in enumerate(kept)])
-            ok = ~np.isnan(votes)
-            if ok.any():
-                self.curve = fit_curve(votes[ok], labels[kept][ok].astype(float), w[kept][ok])
-        self.seen: dict = {}
-
-    def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, list[int], list[float]]:
-        """(probability, examples' ids, cosines)."""
-        if self.index is None or not len(term):
-            return self.blank, [], []
-        key = (term.tobytes(), tf.tobytes())
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            vote, rows, cos = self.index.vote(term, tf)
-            p = self.blank if np.isnan(vote) else float(1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1]))))
-            self.seen[key] = (p, self.index.ids[rows].tolist(), cos.tolist())
-        return self.seen[key]
+
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the terms in a text, rising, and how often they occur."""
+        counts = self.beginnings.add(Counter(words))
+        at = np.fromiter(map(self.ids.get, counts, repeat(-1)), np.int64, len(counts))
+        tf = np.fromiter(counts.values(), np.int64, len(counts))
+        keep = np.flatnonzero(at >= 0)
+        keep = keep[np.argsort(at[keep])]
+        return at[keep], tf[keep]
+
+    def neighbours(self, counts: list[Counter], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vote, examples, cosines) of each text; nan where no example has a word of it, -1 and 0 for none."""
+        vectors = [self.vector(c) for c in counts]
+        best = self.index.nearest(vectors, skip=skip)
+        cos = (best // RANKS) * STEP
+        who = np.where(best > 0, RANKS - 1 - best % RANKS, -1)
+        w = np.where(best > 0, self.votes[who] / (1.02 - np.minimum(cos, 1)), 0)
+        total = w.sum(axis=1)
+        vote = np.where(total > 0, (w * self.labels[who]).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
+        return vote, who, cos
+
+    def score(self, texts_: list[str]) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """(probability, examples' doc_ids, cosines) of each text."""
+        if self.index is None:
+            return np.full(len(texts_), 0.25), [[] for _ in texts_], [[] for _ in texts_]
+        same: dict[str, int] = {}
+        at = [same.setdefault(t, len(same)) for t in texts_]
+        vote, who, cos = self.neighbours([term_counts(t) for t in same])
+        p = 1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1])))
+        p = np.where(np.isnan(vote), self.blank, p)[at]
+        size = (who >= 0).sum(axis=1)
+        ids = [self.doc_ids[w[:n]].tolist() for w, n in zip(who, size)]
+        near = [c[:n].tolist() for c, n in zip(cos, size)]
+        return p, [ids[k] for k in at], [near[k] for k in at]
+
+
+def _counter(words, tf) -> Counter:
+    return Counter(dict(zip(map(bytes, words), np.asarray(tf).tolist())))
+
+
+def indexed(docs: DataFrame, found: pd.DataFrame, sizes: dict[int, int]) -> Judge:
+    """The index over examples (doc_id, same, toxic, counts of words), weights counted over docs."""
+    terms, apart = choose_terms([set(c) for c in found["counts"]], found["toxic"].to_numpy(np.int64))
+    beginnings = Beginnings([t for t in terms if t.endswith(b"*")])
+    df, rows = document_frequencies(docs, terms, beginnings)
+    weights = (np.log((rows + 1) / (df + 1)) + 1) * np.where(apart, LIFT, 1.0)
+    return Judge(terms, beginnings, weights, found, sizes)
+
+
+def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Judge:
+    """The index over the examples, with its curve."""
+    sample, sizes = examples(docs, labels)
+    kind = "doc_id long, toxic int, same string, word array<binary>, tf array<int>"
+    kept = scratch.keep(sample.mapInPandas(_vectors, kind), "examples")
+    # At most 2 * EXAMPLES rows; of equal ones the smallest doc_id is named as evidence, and the digest gives the order.
+    found = kept.toPandas().sort_values(["same", "toxic", "doc_id"]).drop_duplicates(["same", "toxic"], ignore_index=True)
+    found["counts"] = [_counter(w, n) for w, n in zip(found["word"], found["tf"])]
+    judge = indexed(docs, found.drop(columns=["word", "tf"]), sizes)
+    if judge.index is None:
+        return judge
+    shared = spark.sparkContext.broadcast(judge)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.array([shared.value.places[x] for x in zip(pdf["same"], pdf["toxic"])], np.int64)
+            vote, _, _ = shared.value.neighbours([_counter(w, n) for w, n in zip(pdf["word"], pdf["tf"])], skip=at)
+            yield pd.DataFrame({"at": at, "vote": vote})
+
+    spread = kept.repartition(max(1, min(shuffle_width(spark), len(found) // 64)))
+    got = spread.mapInPandas(votes, "at long, vote double").where("NOT isnan(vote)").distinct().orderBy("at").toPandas()
+    if len(got):
+        at = got["at"].to_numpy()
+        judge.curve = fit_curve(got["vote"].to_numpy(), judge.labels[at].astype(float), judge.votes[at])
+    shared.unpersist()
+    return judge
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (nearest examples' doc_ids) and their cosines."""
-    scratch = Scratch(spark, "toxic")
-    sample, sizes = examples(docs, labels)
-    sample = scratch.keep(sample, "examples")
-    chosen = choose_terms(sample)
-    vectors = scratch.keep(term_vectors(texts(docs), chosen, ["doc_id"]), "vectors")
-    counts = vectors.agg(F.count("*").alias("n")).collect()[0]["n"]
-    df = np.zeros(len(chosen))
-    # At most TERMS rows.
-    for r in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
-    idf = np.log((counts + 1) / (df + 1)) + 1
-    got = term_vectors(sample, chosen, ["doc_id", "toxic"]).toPandas().sort_values("doc_id")
-    pairs = [(np.asarray(t, np.int64), np.asarray(f, np.int64)) for t, f in zip(got["term"], got["tf"])]
-    judge = Judge(pairs, got["toxic"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64), idf, sizes)
+    judge = trained(spark, docs, labels, Scratch(spark, "toxic"))
     shared = spark.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [shared.value.score(np.asarray(t, np.int64), np.asarray(f, np.int64)) for t, f in zip(pdf["term"], pdf["tf"])]
-            score = np.array([r[0] for r in rows], float)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "predicted": (score >= 0.5).astype("int32"), "evidence": [r[1] for r in rows], "cosines": [r[2] for r in rows]})
+            score, ids, cos = shared.value.score(pdf["text"].tolist())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "predicted": (score >= 0.5).astype("int32"), "evidence": ids, "cosines": cos})
+        release_memory()
 
-    out = vectors.mapInPandas(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
+    out = texts(docs).mapInPandas(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
     return out.select("doc_id", F.coalesce(_remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "cosines")
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -91,17 +92,41 @@ def test_block_max_is_exact():
     n, terms = 700, 40
     vectors = [(t := np.unique(rng.integers(0, terms, rng.integers(0, 6))), rng.integers(1, 4, len(t))) for _ in range(n)]
     idf = rng.random(terms) + 0.5
-    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, n), np.arange(n), idf, np.ones(2))
-    dense = np.zeros((n, terms))
-    for k, (t, f) in enumerate(vectors):
-        if len(t):
-            dense[k, t] = index.unit(t, f)[1]
-    for k in range(0, n, 23):
-        t, f = vectors[k]
-        rows, cos = index.nearest(t, f, 16)
-        want = dense @ dense[k]
-        order = sorted(np.flatnonzero(want > 0), key=lambda j: (-round(want[j], 12), j))[:16]
-        assert rows.tolist() == [int(j) for j in order] and np.allclose(cos, want[order])
+    for block, frequent in ((16, 0.06), (64, 0.0), (7, 1.0)):
+        index = toxicity.BlockMaxIndex(vectors, idf, block=block, frequent=frequent)
+        dense = np.zeros((n, terms))
+        for k, (t, f) in enumerate(vectors):
+            if len(t):
+                dense[k, t] = index.unit(t, f)[1]
+        asked = list(range(0, n, 23))
+        for skip in (None, np.array(asked)):
+            best = index.nearest([vectors[k] for k in asked], 16, skip, most=3000)
+            for k, row in zip(asked, best):
+                want = np.round(dense @ dense[k], 12)
+                if skip is not None:
+                    want[k] = 0
+                order = sorted(np.flatnonzero(want > 0), key=lambda j: (-want[j], j))[:16]
+                row = row[row > 0]
+                assert (toxicity.RANKS - 1 - row % toxicity.RANKS).tolist() == [int(j) for j in order]
+                assert np.allclose((row // toxicity.RANKS) * toxicity.STEP, want[order], atol=2e-12)
+
+
+def test_blocks_are_skipped(monkeypatch):
+    """Texts of one group of examples do not score the blocks of another group."""
+    rng = np.random.default_rng(6)
+    vectors = [(np.append(g := k % 4, 4 + g * 50 + np.unique(rng.integers(0, 50, 6))), np.ones(200, int)[: 200]) for k in range(400)]
+    vectors = [(t, f[: len(t)]) for t, f in vectors]
+    index = toxicity.BlockMaxIndex(vectors, np.ones(204), block=10, frequent=0.02)
+    scored = []
+
+    class Rows(np.ndarray):
+        def __getitem__(self, k):
+            scored.append(k)
+            return np.asarray(self)[k]
+
+    index.rows = index.rows.view(Rows)
+    index.nearest([vectors[0]])
+    assert 0 < len(scored) <= 10 + 1 < index.blocks
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +159,74 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert by[900]["predicted"] == by[901]["predicted"] == 0 and by[902]["predicted"] == 1
 
 
+def brute_scores(rows, labels):
+    """Text -> score, by dense TF-IDF vectors of every word and of the beginnings that tell the classes apart."""
+    known = {i: t or "" for i, t in rows if i is not None}
+    label = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            label[i] = max(label.get(i, 0), y)
+    train = {i: y for i, y in label.items() if zlib.crc32(str(i).encode()) % 5}
+    sizes = Counter(train.values())
+    sample = sorted({(hashlib.sha256(known[i].encode()).hexdigest(), y, known[i]) for i, y in train.items() if i in known})
+    split = lambda t: "".join(c if c.isalnum() or c > "\x7f" else " " for c in t.lower()).encode().split()
+    begin = lambda ws: [w[:n] + b"*" for w in ws for n in (4, 5, 6) if len(w) > n]
+    y = np.array([x[1] for x in sample])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    sets = [set(split(t)) | set(begin(split(t))) for _, _, t in sample]
+    terms, lift = [], {}
+    for w in sorted(set().union(*sets)):
+        a, b = (sum(w in s for s, v in zip(sets, y) if v == k) for k in (1, 0))
+        ratio = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
+        chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / ((a + b) * max(n0 + n1 - a - b, 1) * n0 * n1)
+        apart = a + b >= 5 and chi >= 25 and (ratio >= 3 or ratio <= 1 / 3)
+        if apart or not w.endswith(b"*"):
+            terms.append(w)
+            lift[w] = toxicity.LIFT if apart else 1.0
+    column = {w: k for k, w in enumerate(terms)}
+    count = Counter(w for _, t in rows for w in (set(split(t or "")) | set(begin(split(t or "")))) & column.keys())
+    weight = np.array([(np.log((len(rows) + 1) / (count[w] + 1)) + 1) * lift[w] for w in terms])
+
+    def vector(t):
+        v = np.zeros(len(terms))
+        for w, c in Counter(split(t) + begin(split(t))).items():
+            if w in column:
+                v[column[w]] = (1 + np.log(c)) * weight[column[w]]
+        return v / (np.linalg.norm(v) or 1)
+
+    units = np.array([vector(t) for _, _, t in sample])
+    share = np.array([sizes[0] / n0, sizes[1] / n1])[y]
+
+    def vote(t, skip=-1):
+        cos = np.round(units @ vector(t), 12)
+        near = sorted((j for j in range(len(y)) if j != skip and cos[j] > 0), key=lambda j: (-cos[j], j))[:16]
+        w = share[near] / (1.02 - np.minimum(cos[near], 1))
+        return (w * y[near]).sum() / w.sum() if near else np.nan
+
+    votes = np.array([vote(t, j) for j, (_, _, t) in enumerate(sample)])
+    ok = ~np.isnan(votes)
+    a, b = toxicity.fit_curve(votes[ok], y[ok].astype(float), share[ok])
+    blank = ((share * y).sum() + 0.5) / (share.sum() + 2)
+    return {t: blank if np.isnan(v := vote(t or "")) else 1 / (1 + np.exp(-(a * v + b))) for _, t in rows}
+
+
+def test_toxicity_equals_brute_force(spark, labelled):
+    docs, labels, _ = labelled
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(950, "w1 w2 ROTTEN, w3 " * 4000), (951, "nothing known é漢 _ -- "), (952, "w1 vilest")]
+    clash = spark.createDataFrame([(i, t, 1.0, "x", 0, [1], 5) for i, t in rows], "doc_id long, text string, score double, same string, toxic int, word array<long>, vote long").repartition(5)
+    want = brute_scores(rows, [(r["doc_id"], r["toxic"]) for r in labels.collect()])
+    got = toxicity.score_documents(spark, clash, labels).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["score"] == pytest.approx(want[text[r["doc_id"]]], abs=1e-9)
+    # Other doc_ids for texts without a label change no score; nor does another order of the rows.
+    moved = spark.createDataFrame([(i if i is None or i < 900 else i + 5000, t) for i, t in rows[::-1]], "doc_id long, text string").repartition(2)
+    again = {(r["doc_id"] if r["doc_id"] is None or r["doc_id"] < 900 else r["doc_id"] - 5000): r["score"] for r in toxicity.score_documents(spark, moved, labels).collect()}
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], abs=1e-12) for r in got)
+
+
 def test_toxicity_without_labels_or_rows(spark, labelled):
     docs, labels, _ = labelled
     none = toxicity.score_documents(spark, docs, labels.limit(0)).collect()
