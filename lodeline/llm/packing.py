@@ -2,9 +2,14 @@
 
 Csirik, Johnson, Kenyon, Orlin, Shor and Weber, "On the sum-of-squares algorithm for bin packing": each item goes to the
 fill level that minimises the sum over levels of the squared count of partially filled windows at that level. The counts
-are one level array; a level's windows are a stack. Here an item is what is left of a document after its whole windows
-have been cut off. Each task packs its own rows in order as they come, so nothing is shuffled; what is open at a task's
-end is cut freely into whole windows and, for the last few thousand ids, windows of a power of two, which need no padding.
+are one level array; a level's windows are a stack.
+
+A document's whole windows are cut off first. Of the rest, what fills units of UNIT ids is an item of as many units; the
+odd ids of successive documents are laid end to end and each unit they fill is an item of one. So all items are placed by
+sum of squares on SIZE / UNIT levels, windows close on exact fills, and the number of open windows is bound to the levels,
+not to the documents. Each task packs its own rows in order as they come, so nothing is shuffled. At a task's end what
+open windows hold is placed once more, whole, largest first; what the few windows hold that are open then is cut into whole
+windows and, for the last ids, windows of a power of two, which need no padding.
 
 Defined results: a null text is the empty text, one piece with the closing id. Rows that repeat are packed each time.
 A null doc_id is packed as null. An empty table gives no rows.
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeline.llm.common import release_memory, table, text_batches, texts
 from lodeline.llm.word_ids import WORD_BPE, tokenizer_file, word_ids
 
-WINDOW = 4096
+WINDOW, UNIT = 4096, 128
 CLOSE = 2
 SHARD_BITS = 36
 
@@ -74,53 +79,93 @@ def powers(n: int) -> list[int]:
 
 
 class Packer:
-    """Pieces (doc, start, length, ids) with the window and offset each is given."""
-
-    def __init__(self, size: int = WINDOW, first: int = 0):
-        self.size, self.next = size, first
-        self.bins = SumOfSquares(size)
-        self.held: dict[int, list] = {}
+    """Pieces (key, start, length, ids) with the window and offset each is given.
+
+    A piece is a tuple (key, start, length, ids); an item a list of pieces that stay together.
+    """
+
+    def __init__(self, size: int = WINDOW, first: int = 0, unit: int = UNIT):
+        if size % unit:
+            raise ValueError("a window is a whole number of units")
+        self.size, self.unit, self.next = size, unit, first
+        self.bins = SumOfSquares(size // unit)
+        #: The odd ids that do not fill a unit yet.
+        self.odd: list[tuple] = []
+        self.n_odd = 0
+        #: Ids that were cut anew at the end.
+        self.recut = 0
 
     def window(self) -> int:
         self.next += 1
         return self.next - 1
 
+    def _closed(self, pieces: list[tuple]) -> Iterator[tuple]:
+        w, at = self.window(), 0
+        for key, start, length, ids in pieces:
+            yield key, start, length, ids, w, at
+            at += length
+
+    def _put(self, bins: SumOfSquares, item: list[tuple], units: int) -> Iterator[tuple]:
+        held, level = bins.place(units, list)
+        held += item
+        if level + units == bins.size:
+            yield from self._closed(held)
+
+    def _unit(self) -> list[tuple]:
+        """The first `unit` odd ids."""
+        out, left = [], self.unit
+        while left:
+            key, start, length, ids = self.odd.pop(0)
+            n = min(left, length)
+            out.append((key, start, n, ids[: 4 * n]))
+            if n < length:
+                self.odd.insert(0, (key, start + n, length - n, ids[4 * n :]))
+            left -= n
+        self.n_odd -= self.unit
+        return out
+
     def add(self, key, ids: bytes) -> Iterator[tuple]:
         """Pieces that are settled by this document: (key, start, length, ids, window, offset)."""
-        total, size = len(ids) // 4, self.size
+        total, size, unit = len(ids) // 4, self.size, self.unit
         cut = total - total % size
         for start in range(0, cut, size):
             yield key, start, size, ids[4 * start : 4 * (start + size)], self.window(), 0
-        if need := total - cut:
-            w, at = self.bins.place(need, self.window)
-            self.held.setdefault(w, []).append((key, cut, need, ids[4 * cut :], w, at))
-            if at + need == size:
-                yield from self.held.pop(w)
+        odd = total - total % unit
+        if odd > cut:
+            yield from self._put(self.bins, [(key, cut, odd - cut, ids[4 * cut : 4 * odd])], (odd - cut) // unit)
+        if total > odd:
+            self.odd.append((key, odd, total - odd, ids[4 * odd :]))
+            self.n_odd += total - odd
+            while self.n_odd >= unit:
+                yield from self._put(self.bins, self._unit(), 1)
 
     def end(self) -> Iterator[tuple]:
-        """What open windows hold, cut into whole windows and powers of two."""
-        left = sum(h for _, h in self.bins.open_windows())
-        sizes = [self.size] * (left // self.size) + powers(left % self.size)
+        """What is still open."""
+        again = SumOfSquares(self.bins.size)
+        for held, level in list(self.bins.open_windows()):
+            yield from self._put(again, held, level)
+        left = [p for held, _ in again.open_windows() for p in held] + self.odd
+        self.recut = total = sum(p[2] for p in left)
+        sizes = [self.size] * (total // self.size) + powers(total % self.size)
         room = at = 0
         w = -1
-        for old, _ in list(self.bins.open_windows()):
-            for key, start, length, ids, _, _ in self.held.pop(old):
-                done = 0
-                while done < length:
-                    if at == room:
-                        room, at, w = sizes.pop(0), 0, self.window()
-                    n = min(room - at, length - done)
-                    yield key, start + done, n, ids[4 * done : 4 * (done + n)], w, at
-                    done, at = done + n, at + n
-
-
-def pack(docs: DataFrame, tokenizer: str, *, size: int = WINDOW, close: int = CLOSE) -> DataFrame:
+        for key, start, length, ids in left:
+            done = 0
+            while done < length:
+                if at == room:
+                    room, at, w = sizes.pop(0), 0, self.window()
+                n = min(room - at, length - done)
+                yield key, start + done, n, ids[4 * done : 4 * (done + n)], w, at
+                done, at = done + n, at + n
+
+
+def pack(docs: DataFrame, tokenizer: str, *, size: int = WINDOW, unit: int = UNIT, close: int = CLOSE) -> DataFrame:
     """A row per piece: its document, place in it, ids' CRC-32, sequence and place there."""
     end = np.array([close], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table_ = word_ids(tokenizer)
-        packer = Packer(size, TaskContext.get().partitionId() << SHARD_BITS)
+        packer = Packer(size, TaskContext.get().partitionId() << SHARD_BITS, unit)
 
         def rows(pieces):
             return [(d, s, n, zlib.crc32(ids), total, w, at) for (d, total), s, n, ids, w, at in pieces]
