@@ -28,7 +28,7 @@ def test_word_ids_equal_the_library(library, corpus):
 
 
 def test_packing(spark, docs, corpus, library):
-    got = packing.pack(docs, WORD, size=64).collect()
+    got = packing.pack(docs, WORD, size=64, unit=4).collect()
     want = defaultdict(list)
     for i, t in corpus:
         want[i].append([*library(t or ""), 2])
@@ -58,6 +58,29 @@ def test_packing_empty(empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 4, 16])
+def test_sum_of_squares_places_nearly_all_ids(tasks):
+    rng = np.random.default_rng(tasks)
+    sizes = (rng.pareto(1.5, 4000) * 300 + 1).astype(int).tolist() + [200_000]
+    cut = total = 0
+    for k in range(tasks):
+        packer, used, pieces = packing.Packer(first=k << 36), defaultdict(int), 0
+        for x in sizes[k::tasks]:
+            for *_, length, ids, w, at in packer.add(x, bytes(4 * x)):
+                assert used[w] == at and len(ids) == 4 * length
+                used[w] += length
+            # Open windows are bound to the levels, whatever the number of documents.
+            assert sum(packer.bins.count) <= 2 * packer.size // packer.unit
+        assert all(n == packer.size for n in used.values())
+        for *_, length, ids, w, at in packer.end():
+            assert used[w] == at and len(ids) == 4 * length
+            used[w] += length
+        assert sum(used.values()) == sum(sizes[k::tasks]) and sorted(used) == list(range(k << 36, packer.next))
+        assert packer.recut <= 8 * packer.size
+        cut, total = cut + packer.recut, total + sum(used.values())
+    assert cut <= 0.02 * tasks * total / 4
+
+
 def test_sum_of_squares_takes_the_best_level():
     bins = packing.SumOfSquares(10)
     rng = np.random.default_rng(0)
@@ -109,11 +132,72 @@ def test_rollup_maintains_totals(spark, tmp_path, empty):
     assert show() == {("a", "en"): (1, 0), ("b", "en"): (1, 3)}
     assert store.commit("b3", batch(("insert", 1, "b", "en", "x"), ("delete", 2, None, None, None))) and show() == {("b", "en"): (1, 1)}
     assert store.commit("b4", batch(("delete", 1, None, None, None))) and show() == {}
-    # What an attempt without a marker leaves behind is not read.
+    # What an attempt without an entry leaves behind is not read.
     batch(("insert", 7, "q", "en", "x")).selectExpr("'q' AS source", "'en' AS lang", "'words-1' AS tokenizer", "1L AS docs", "5L AS tokens").write.parquet(f"file://{tmp_path}/s/deltas/lost")
     assert show() == {}
 
 
+CHANGE = "op string, doc_id long, source string, lang string, text string"
+
+
+def test_rollup_survives_lost_and_racing_committers(spark, tmp_path, monkeypatch):
+    store = rollups.TokenRollup(spark, f"file://{tmp_path}/s", {"words-1": rollups.count_words})
+    batch = lambda *rows: spark.createDataFrame(list(rows), CHANGE)
+    show = lambda: {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in store.totals().collect()}
+    one = batch(("insert", 1, "a", "en", "x y"))
+
+    class Lost(Exception):
+        pass
+
+    def lost(*a):
+        raise Lost
+
+    for step in ("_publish", "_write", "_signed"):  # the driver is lost before this step
+        with monkeypatch.context() as m:
+            m.setattr(store, step, lost)
+            with pytest.raises(Lost):
+                store.commit("b1", one)
+        assert show() == {} and not store.committed("b1")
+    # Lost after writing the entry aside, before its rename.
+    (tmp_path / "s" / "aside").mkdir(exist_ok=True)
+    (tmp_path / "s" / "aside" / "half").write_bytes(b"")
+    assert store.commit("b1", one) and not store.commit("b1", one) and show() == {("a", "en"): (1, 2)}
+
+    # Another committer gets in between reading the state and publishing: the batch is worked out again.
+    real, once = store._publish, []
+
+    def overtaken(version, entry):
+        if not once:
+            once.append(1)
+            assert rollups.TokenRollup(spark, store.folder, store.tokenizers).commit("b2", batch(("revise", 1, "b", "en", "x y z")))
+        return real(version, entry)
+
+    monkeypatch.setattr(store, "_publish", overtaken)
+    assert store.commit("b3", batch(("revise", 1, "c", "en", "x")))
+    assert show() == {("c", "en"): (1, 1)} and [e["batch"] for e in store.log()] == ["b1", "b2", "b3"]
+    assert not real(1, {"batch": "other", "attempt": "x"}) and [e["batch"] for e in store.log()] == ["b1", "b2", "b3"]
+    assert store.compact() and show() == {("c", "en"): (1, 1)} and store.ledger().count() == 1
+    assert not store.commit("b2", one) and store.commit("b4", batch(("delete", 1, None, None, None))) and show() == {}
+
+
+def test_rollup_counts_rows_without_an_id_and_ignores_other_columns(spark, tmp_path):
+    store = rollups.TokenRollup(spark, f"file://{tmp_path}/s", {"words-1": rollups.count_words})
+    rows = [("insert", None, "a", "en", "x y"), ("insert", None, "a", "en", "x y"), ("insert", 5, "a", "en", "w " * 300_000), ("delete", None, "a", "en", "x y")]
+    df = spark.createDataFrame([(*r, 1, "t", 9) for r in rows], CHANGE + ", docs long, tokenizer string, tokens long")
+    assert store.commit("b", df)
+    assert [(r["docs"], r["tokens"]) for r in store.totals().collect()] == [(3, 300_004)]
+    # The rows without an id stay through later commits; the one with an id is revised.
+    assert store.commit("c", spark.createDataFrame([("revise", 5, "a", "en", "x"), ("insert", None, "a", "en", "z")], CHANGE))
+    assert [(r["docs"], r["tokens"]) for r in store.totals().collect()] == [(4, 6)]
+
+
+def test_rollup_of_bpe_equals_the_library(spark, tmp_path, plain, unique, library):
+    store = rollups.TokenRollup(spark, f"file://{tmp_path}/s", rollups.production_tokenizers())
+    assert store.commit("load", plain.selectExpr("'insert' AS op", "doc_id", "source", "lang", "text"))
+    got = {r["tokenizer"]: (r["docs"], r["tokens"]) for r in store.totals().collect()}
+    assert got["word_bpe_49k-1"] == (len(unique), sum(len(library(t)) for t in unique.values()))
+
+
 def pages(spark):
     html = ["<p>x</p>", "<p>x</p>", None, "", "é" * 3000, "<p>x</p>", "y"]
     rows = [(k, f"http://h.test/{k}\r\nX: 1", h) for k, h in enumerate(html)] + [(None, None, "y"), (None, None, "alone"), (6, "http://h.test/6", "y")]
