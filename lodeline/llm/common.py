@@ -45,6 +45,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_key(text: str = "text"):
+    """64 bits of a text, null as empty. With doc_id it tells rows apart, should two texts have one doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 #: Rows of a batch that texts are sent to Python in: documents can be long, and a batch is held several times over.
 TEXT_ROWS = 2000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -69,12 +74,15 @@ def release_memory() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder, but only
+    in local mode, where there are no other machines."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='lodeline-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -13,8 +13,10 @@ components, so no candidate that could change the components is left out. Bucket
 pairs of blocks. Chance to miss a link at the threshold: (1 - t**4)**24, 3e-6 at 0.8 and 2e-8 at 0.85.
 
 Defined results: null and blank texts have the empty set and link with nothing. Fewer words than a shingle are one
-shingle. Rows with a null doc_id link with nothing and have a null component. Rows that share a doc_id are judged by
-their own texts. An empty table gives no rows; other columns are ignored.
+shingle. Rows with a null doc_id link with nothing and have a null component. Classes are known by their set's 128-bit
+digest, so rows that share a doc_id are judged each by its own text: every one gets the component of its own set, and all
+those components' other members are kept apart or together by their own links alone. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, components, release_memory, shuffle_width, table, texts, with_group
+from lodeline.llm.common import Scratch, components, release_memory, salt, shuffle_width, table, text_key, texts
 from lodeline.llm.shingles import mix, shingle_sets
 
 PLACES = 1 << 20
@@ -66,6 +68,8 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def _signed(k: int):
+    """Rows' sets: size, digest, bands and signature."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = shingle_sets(pdf["text"].tolist(), k)
@@ -74,7 +78,7 @@ def _signed(k: int):
             bands = [None if s is None else s.view("<i8") for s in shorts]
             short = [None if s is None else s.tobytes() for s in shorts]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
+                "doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "n": [len(s) for s in sets],
                 "same": [set_digest(s) if len(s) else None for s in sets], "bands": bands, "short": short,
             })
         release_memory()
@@ -233,15 +237,16 @@ MOST_BITS = 1 << 27
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept. Sets of `words` shingles link at Jaccard >= num/den."""
+    """Per row: doc_id, n_shingles, component_id, kept, text_key. Sets of `words` shingles link at Jaccard >= num/den."""
     scratch = Scratch(spark, "minhash")
     rows = texts(docs)
-    kind = "doc_id long, n long, same binary, bands array<long>, short binary"
-    signed = scratch.keep(rows.mapInPandas(_signed(words), kind), "signed")
+    kind = "doc_id long, text_key long, n long, same binary, bands array<long>, short binary"
+    signed = scratch.keep(rows.withColumn("text_key", text_key()).mapInPandas(_signed(words), kind), "signed")
     usable = signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    one = usable.groupBy("same").agg(F.min("doc_id").alias("doc")).withColumnRenamed("same", "s")
-    reps = usable.join(one, (F.col("same") == F.col("s")) & (F.col("doc_id") == F.col("doc"))).select("doc", "n", "short", "bands").dropDuplicates(["doc"])
-    reps = scratch.keep(reps, "reps")
+    # A row per class: distinct sets, each with a number of its own (`doc`) and its smallest doc_id. Numbers are written.
+    one = usable.groupBy("same").agg(F.min("doc_id").alias("first")).withColumnRenamed("same", "s")
+    reps = usable.join(one, (F.col("same") == F.col("s")) & (F.col("doc_id") == F.col("first"))).select("same", "first", "n", "short", "bands").dropDuplicates(["same"])
+    reps = scratch.keep(reps.withColumn("doc", F.monotonically_increasing_id()), "reps")
     spread = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("k", F.ceil(F.col("m") / F.lit(block)))
     inside = spread.join(buckets.select("band", "key", "k"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("k")))
@@ -251,20 +256,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
     width = shuffle_width(spark)
     n_docs = reps.count()
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n_docs).bit_length()))
-    wanted = spark.sparkContext.broadcast(_bitmap(members.select("doc").distinct(), bits))
+    asked = scratch.keep(reps.select("doc", "same", "first").join(members.select("doc").distinct(), "doc", "left_semi"), "asked")
+    wanted = spark.sparkContext.broadcast(_bitmap(asked.select(F.col("first").alias("doc")), bits))
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h = mix(pdf["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(bits)
             pdf = pdf[(wanted.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            if len(pdf):
-                sets = shingle_sets(pdf["text"].tolist(), words)
-                long = [(mix(signature(s, LONG).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else b"" for s in sets]
-                yield pd.DataFrame({"doc": pdf["doc_id"], "set": [s.astype("<u8").tobytes() for s in sets], "long": long})
+            sets = [s for s in shingle_sets(pdf["text"].tolist(), words) if len(s)]
+            if sets:
+                long = [(mix(signature(s, LONG).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() for s in sets]
+                yield pd.DataFrame({"s": [set_digest(s) for s in sets], "set": [s.astype("<u8").tobytes() for s in sets], "long": long})
         release_memory()
 
-    sets = rows.where("doc_id IS NOT NULL").mapInPandas(full, "doc long, set binary, long binary")
-    sets = scratch.keep(sets.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "sets")
+    # Equal digests are equal sets, so of several rows of a class any one gives its set.
+    sets = rows.where("doc_id IS NOT NULL").mapInPandas(full, "s binary, set binary, long binary")
+    sets = sets.join(asked.select("same", "doc"), F.col("s") == F.col("same")).select("doc", "set", "long")
+    sets = scratch.keep(sets.dropDuplicates(["doc"]), "sets")
     n_sets = sets.count()
     edges = None
     roots = None
@@ -293,21 +301,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
             roots = components(edges, scratch, f"roots{step}")
         if every:
             # What is left to do needs the signatures' table and the last roots alone.
-            for name in ("reps", "members", "sets", *(f"{n}{k}" for n in ("pairs", "links") for k in range(step + 1)), *(f"roots{k}-out" for k in range(step))):
+            for name in ("members", "sets", "asked", *(f"{n}{k}" for n in ("pairs", "links") for k in range(step + 1)), *(f"roots{k}-out" for k in range(step))):
                 scratch.drop(name)
             break
         step += 1
         every = step == ROUNDS or found * FEW < n_sets
-    total = with_group(usable.select("same", "doc_id"), "same", "doc_id", [(F.min("doc_id"), F.min, "rep")])
-    of = total.select("doc_id", "same", "rep").distinct().join(roots, F.col("rep") == F.col("node"), "left")
-    of = of.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "same").join(of, (F.col("doc_id") == F.col("d")) & (F.col("same") == F.col("s")), "left")
-    comp = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = reps.select("same", "first", "doc").join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
+    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = classes.join(smallest, "root").select("same", "component_id")
+    # A row per class and salt meets the classes, then the rows of that part: no task holds all rows of a large class.
+    keyed = signed.withColumn("_same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).withColumn("_salt", salt("doc_id")).drop("same", "bands", "short")
+    parts = keyed.where("_same IS NOT NULL").select("_same", "_salt").distinct().join(classes, F.col("_same") == F.col("same")).drop("same")
+    comp = F.coalesce("component_id", "doc_id")
+    out = keyed.join(parts, ["_same", "_salt"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), "text_key")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, num=85, den=100).drop("text_key")
 
 
 ORACLE = r"""
