@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import SPACES, Scratch, salt, shuffle_width, table, with_group
+from lodeline.llm.common import SPACES, Scratch, salt, shuffle_width, table, text_key, with_group
 
 MERGE = "merge"
 
@@ -28,6 +28,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"),
         F.length(text).cast("long").alias("chars"),
+        text_key().alias("text_key"),
     )
 
 
@@ -43,16 +44,25 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
     def append(self, winners: DataFrame) -> None:
         """Add winners whose digest the index lacks; repeating a batch adds nothing."""
-        new = winners.select("digest", "keep_id", "chars")
-        if self.exists():
-            new = new.join(self.rows().hint(MERGE), "digest", "left_anti")
-        new = new.repartition(self.buckets, "digest")
-        new.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        if not self.exists():
+            self._write(self.spark.createDataFrame([], "digest binary, keep_id long, chars long"))
+        new = winners.select("digest", "keep_id", "chars").join(self.rows().hint(MERGE), "digest", "left_anti")
+        self._write(new.repartition(self.buckets, "digest"))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name} PURGE")
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        """Per row: doc_id, keep_id (who holds the text in the index), group_size in this batch, kept, digest."""
+        """Per row: doc_id, keep_id (who holds the text in the index), group_size in this batch, kept, text_sha256, text_key.
+
+        The batch's winners are sent twice, as by a writer that does not know whether it was heard: the second time the
+        anti-join finds them all.
+        """
         scratch = Scratch(self.spark, "exact")
         keyed = scratch.keep(digests(docs), "digests")
         # The largest (chars, ~doc_id) is the longest text, then the smallest id; a null id sorts below all.
@@ -60,13 +70,15 @@ class DigestIndex:
         winners = keyed.groupBy("digest").agg(F.max(rank).alias("best")).select(
             "digest", F.bitwise_not("best.inv").alias("keep_id"), F.col("best.chars").alias("chars")
         )
+        winners = scratch.keep(winners, "winners")
+        self.append(winners)
         self.append(winners)
         sized = with_group(keyed, "digest", "doc_id", [(F.count("*"), F.sum, "group_size")])
         # One row per digest and salt meets the index, then the rows of that part: no task holds a whole hot group.
         salted = sized.withColumn("salt", salt("doc_id"))
         owners = salted.select("digest", "salt").distinct().join(self.rows().select("digest", "keep_id").hint(MERGE), "digest")
         out = salted.join(owners, ["digest", "salt"])
-        return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "text_key")
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
@@ -74,12 +86,16 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All rows of `docs` against an index that starts empty."""
-    return fresh_index(spark).dedup(docs)
+    """All rows of `docs` against an index that starts empty and is dropped when the result is written."""
+    index = fresh_index(spark)
+    try:
+        return Scratch(spark, "exact").keep(index.dedup(docs), "result")
+    finally:
+        index.drop()
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, table(spark, sf_dir, "documents"))
+    return exact_dedup(spark, table(spark, sf_dir, "documents")).drop("text_key")
 
 
 ORACLE = r"""

@@ -35,6 +35,40 @@ def test_exact_index_persists_and_is_idempotent(spark, plain, empty):
     assert index.dedup(empty).count() == 0 and exact_dedup.exact_dedup(spark, empty).count() == 0
 
 
+def test_exact_leaves_no_table_and_ignores_other_columns(spark, plain, unique):
+    before = {t.name for t in spark.catalog.listTables()}
+    clash = plain.selectExpr("doc_id", "text", "'x' AS digest", "1 AS keep_id", "2 AS salt", "3 AS _salt", "true AS kept", "4 AS chars", "5 AS group_size")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark, clash).collect()}
+    assert got == {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark, plain).collect()} and len(got) == len(unique)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_exact_anti_join_runs_on_both_sendings(spark, plain, monkeypatch):
+    index, sizes = exact_dedup.fresh_index(spark), []
+    real = index._write
+
+    def write(rows):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        real(rows)
+        sizes.append(("LeftAnti" in plan, index.rows().count()))
+
+    monkeypatch.setattr(index, "_write", write)
+    kept = index.dedup(plain).where("kept").count()
+    assert sizes == [(False, 0), (True, kept), (True, kept)]
+    index.drop()
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b + " other"), (5, a), (6, "c d e f g h"), (6, "i j k l m n")]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = minhash.near_duplicates(spark, docs, words=3, num=85, den=100).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False), (6, 6, True), (6, 6, True)]
+        found = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark, docs).collect())
+        assert found == [(1, 1, 1, True), (1, 1, 2, True), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 1, True), (5, 1, 2, False), (6, 6, 1, True), (6, 6, 1, True)]
+
+
 def test_exact_runs_no_python(spark, plain):
     plan = exact_dedup.exact_dedup(spark, plain)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
