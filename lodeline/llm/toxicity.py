@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, release_memory, shuffle_width, table, texts
+from lodeline.llm.common import Scratch, release_memory, shuffle_width, table, text_key, texts
 
 EXAMPLES, RATIO, CHI2, LEAST_ROWS, LIFT = 1000, 3.0, 25.0, 5, 16.0
 BEGINNINGS = (4, 5, 6)
@@ -373,19 +373,19 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted, evidence (nearest examples' doc_ids) and their cosines."""
+    """Per row: doc_id, held_out, score, predicted, evidence (nearest examples' doc_ids), their cosines, and text_key."""
     judge = trained(spark, docs, labels, Scratch(spark, "toxic"))
     shared = spark.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score, ids, cos = shared.value.score(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "predicted": (score >= 0.5).astype("int32"), "evidence": ids, "cosines": cos})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "predicted": (score >= 0.5).astype("int32"), "evidence": ids, "cosines": cos, "text_key": pdf["text_key"]})
         release_memory()
 
-    out = texts(docs).mapInPandas(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
-    return out.select("doc_id", F.coalesce(_remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "cosines")
+    out = texts(docs).withColumn("text_key", text_key()).mapInPandas(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>, text_key long")
+    return out.select("doc_id", F.coalesce(_remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "cosines", "text_key")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
