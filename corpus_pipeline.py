@@ -1,7 +1,8 @@
 """The corpus pipeline: toxic documents go, exact copies go, near copies go, repeated passages go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that the next one reads; all but the last keep the columns of
-documents. Stages drop rows by an anti-join with the ids that an operator rejects, so rows with a null doc_id stay.
+documents. A stage's verdict is on a row: doc_id and text together say which, so where a doc_id stands on two texts, or on
+none, each text meets its own verdict.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import Scratch, table
+from lodeline.llm.common import Scratch, table, text_key
 from lodeline.llm.exact_dedup import exact_dedup
 from lodeline.llm.minhash import near_duplicates
 from lodeline.llm.packing import pack
@@ -19,8 +20,9 @@ from lodeline.llm.word_ids import WORD_BPE, tokenizer_file
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    gone = rejected.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = rejected.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (text_key() == F.col("_gone_key"))
+    return docs.join(gone, same, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
