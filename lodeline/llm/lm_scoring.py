@@ -5,7 +5,7 @@ HEAD most frequent tokens are the model's head words, in classes by rank; every
 tail class by its letters, and its probability there is (c + 0.5) / (N_class + 0.5 * (V_class + 1)).
 
 Training: a common start is fitted on at most START_DOCS rows (a documented bound), then every task trains on all of its
-training rows (SHARE is 1), and the tasks' networks are averaged, weighted by tokens, block by block on the executors.
+training rows, none left out, and the tasks' networks are averaged, weighted by tokens, block by block on the executors.
 Only the averaged network comes to the driver.
 
 Scoring: one pass. Words among the KNOWN most frequent (a bounded table that tasks hold) are scored at once; the rest
@@ -35,7 +35,7 @@ from lodeline.llm.recurrent import Net, Shape, Trainer, flatten, fresh, unflatte
 #: The end of a document among words, which never hold a line feed.
 END = b"\n"
 FOLDS, HELD_OUT = 5, 1
-KNOWN, START_DOCS, SHARE = 150_000, 1500, 1.0
+KNOWN, START_DOCS = 150_000, 1500
 PART = 4096
 LN10 = float(np.log(10))
 
@@ -120,7 +120,7 @@ class Vocabulary:
         return ids, symbol, out
 
 
-def _train(voc: Vocabulary, start: np.ndarray, texts_: Iterator[list[str]], rate: float) -> Trainer:
+def _train(voc: Vocabulary, start: np.ndarray, texts_: Iterator[list[str]], rate: float, lanes: int) -> Trainer:
     trainer = Trainer(voc.shape, unflatten(voc.shape, start), rate)
     held: list[np.ndarray] = []
     size = 0
@@ -129,14 +129,14 @@ def _train(voc: Vocabulary, start: np.ndarray, texts_: Iterator[list[str]], rate
             held.append(voc.encode([*byte_words(t), END])[1])
             size += len(held[-1])
             if size > 1_500_000:
-                trainer.learn(held)
+                trainer.learn(held, lanes)
                 held, size = [], 0
     if held:
-        trainer.learn(held)
+        trainer.learn(held, lanes)
     return trainer
 
 
-def trained(spark: SparkSession, train: DataFrame, voc: Vocabulary, scratch: Scratch, *, share: float = SHARE, start_docs: int = START_DOCS) -> np.ndarray:
+def trained(spark: SparkSession, train: DataFrame, voc: Vocabulary, scratch: Scratch, *, start_docs: int = START_DOCS) -> np.ndarray:
     """The averaged network, flat."""
     shared = spark.sparkContext.broadcast(voc)
     size = len(flatten(fresh(voc.shape)))
@@ -149,7 +149,7 @@ def trained(spark: SparkSession, train: DataFrame, voc: Vocabulary, scratch: Scr
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [t for b in batches for t in b["text"]]
         if rows:
-            yield blocks(_train(shared.value, flatten(fresh(shared.value.shape)), iter([rows, rows]), 0.01))
+            yield blocks(_train(shared.value, flatten(fresh(shared.value.shape)), iter([rows, rows]), 0.01, 256))
 
     kind = "block int, w long, values array<float>"
     # The rows are chosen by id; their number is bounded, so the ids are broadcast and only these texts travel.
@@ -161,16 +161,15 @@ def trained(spark: SparkSession, train: DataFrame, voc: Vocabulary, scratch: Scr
     start = spark.sparkContext.broadcast(np.concatenate([np.array(r["values"], np.float32) for r in begun]))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer = _train(shared.value, start.value, (b["text"].tolist() for b in batches), 0.004)
+        trainer = _train(shared.value, start.value, (b["text"].tolist() for b in batches), 0.004, 512)
         if trainer.tokens:
             yield blocks(trainer)
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         w = pdf["w"].to_numpy(np.float64)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "values": [(np.stack(list(pdf["values"])) * w[:, None]).sum(axis=0) / w.sum()]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "w": int(w.sum()), "values": [(np.stack(list(pdf["values"])) * w[:, None]).sum(axis=0) / w.sum()]})
 
-    picked = train.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)) < int(1000 * share)).select("text")
-    rows = scratch.keep(picked.mapInPandas(local, kind).groupBy("block").applyInPandas(mean, "block int, values array<float>"), "network")
+    rows = scratch.keep(train.select("text").mapInPandas(local, kind).groupBy("block").applyInPandas(mean, kind), "network")
     # One network, of a fixed size.
     got = rows.orderBy("block").collect()
     return np.concatenate([np.array(r["values"], np.float32) for r in got]) if got else start.value
@@ -213,7 +212,7 @@ def _scored(voc, flat):
     return run
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, *, shape: Shape | None = None, known: int = KNOWN, share: float = SHARE, start_docs: int = START_DOCS) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, *, shape: Shape | None = None, known: int = KNOWN, start_docs: int = START_DOCS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shape = shape or Shape()
     scratch = Scratch(spark, "lm")
@@ -235,7 +234,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, shape: Shape | None
         sums[tail_class(w)][0] -= c
         sums[tail_class(w)][1] -= 1
     voc = Vocabulary(shape, top, n, v, {k: tuple(x) for k, x in sums.items()})
-    flat = spark.sparkContext.broadcast(trained(spark, train, voc, scratch, share=share, start_docs=start_docs))
+    flat = spark.sparkContext.broadcast(trained(spark, train, voc, scratch, start_docs=start_docs))
     shared = spark.sparkContext.broadcast(voc)
     kind = "row long, doc_id long, word binary, n long, n_known long, base double, score double"
     found = scratch.keep(rows.mapInPandas(_scored(shared, flat), kind), "scored")

@@ -29,7 +29,8 @@ class Shape:
 
     def sizes(self) -> list[tuple[str, tuple]]:
         h = self.hidden
-        return [("x", (self.symbols, 2 * h)), ("uf", (h, h)), ("uc", (h, h)), ("wc", (h, self.classes)), ("bc", (self.classes,)), ("wo", (self.head_classes, h, self.per)), ("bo", (self.head_classes, self.per))]
+        # The output's matrices have a row more, for a state that is always one: the bias.
+        return [("x", (self.symbols, 2 * h)), ("uf", (h, h)), ("uc", (h, h)), ("wc", (h + 1, self.classes)), ("wo", (self.head_classes, h + 1, self.per))]
 
 
 def fresh(shape: Shape, seed: int = 5) -> dict[str, np.ndarray]:
@@ -99,73 +100,99 @@ class Lanes:
         return out
 
 
+#: Rows of the output layer that are worked at a time, so that they stay in a core's cache.
+ROWS = 1024
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, and its sums by row. Logits are small; only where one is large the rows are shifted."""
+    if z.size and z.max() > 40:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 class Net:
     def __init__(self, shape: Shape, p: dict[str, np.ndarray]):
         self.s, self.p = shape, p
 
     def forward(self, x: np.ndarray, fresh_: np.ndarray, h: np.ndarray, keep: bool) -> tuple:
-        """States after each step of a window, (steps, lanes, hidden)."""
+        """States after each step of a window, (steps, lanes, hidden + 1) with a last one of 1."""
         p, n = self.p, self.s.hidden
-        out = np.empty((*x.shape, n), F32)
+        out = np.ones((*x.shape, n + 1), F32)
         kept = []
+        any_fresh = fresh_.any(axis=1).tolist()
         for t in range(len(x)):
-            if fresh_[t].any():
+            if any_fresh[t]:
                 h = h * (~fresh_[t])[:, None]
             e = p["x"][x[t]]
-            f = e[:, :n] + h @ p["uf"]
+            f = h @ p["uf"]
+            f += e[:, :n]
             np.negative(f, out=f)
             np.exp(f, out=f)
             f += 1
             np.reciprocal(f, out=f)
             fh = f * h
-            c = np.tanh(e[:, n:] + fh @ p["uc"])
-            new = h + f * (c - h)
+            c = fh @ p["uc"]
+            c += e[:, n:]
+            np.tanh(c, out=c)
+            new = c - h
+            new *= f
+            new += h
             if keep:
                 kept.append((h, f, fh, c))
-            out[t] = h = new
+            out[t, :, :n] = new
+            h = new
         return out, h, kept
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: bool) -> tuple:
         """Natural log-probabilities of y (head word or tail class; -1 none) and, for training, the gradients."""
         s, p = self.s, self.p
         real = np.flatnonzero(y >= 0)
-        h, y = h[real], y[real]
+        y = y[real]
         head = y < s.head
         cls = np.where(head, y // s.per, y - s.head + s.head_classes)
-        z = h @ p["wc"]
-        z += p["bc"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        rows = np.arange(len(y))
-        lp = z[rows, cls] - np.log(total)
-        g = {}
-        dh = None
-        if grad:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            g["wc"], g["bc"] = h.T @ d, d.sum(axis=0)
-            dh = d @ p["wc"].T
-            g["wo"], g["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        at = np.flatnonzero(head)
-        by = at[np.argsort(cls[at], kind="stable")]
-        cut = np.searchsorted(cls[by], np.arange(s.head_classes + 1))
+        # Rows by class: a head class is one stretch, and tail classes follow.
+        by = np.argsort(cls, kind="stable")
+        real, y, cls = real[by], y[by], cls[by]
+        h = h[real]
+        lp = np.empty(len(y), F32)
+        g = {k: np.zeros_like(p[k]) for k in ("wc", "wo")} if grad else {}
+        dh = np.empty((len(y), s.hidden), F32) if grad else None
+        for a in range(0, len(y), ROWS):
+            part, own = h[a : a + ROWS], cls[a : a + ROWS]
+            z = part @ p["wc"]
+            i = np.arange(len(own))
+            total = _softmax(z)
+            hit = z[i, own]
+            lp[a : a + ROWS] = np.log(hit / total)
+            if grad:
+                z *= (1 / total)[:, None]
+                z[i, own] -= 1
+                g["wc"] += part.T @ z
+                dh[a : a + ROWS] = z @ p["wc"][:-1].T
+        words = int(np.searchsorted(cls, s.head_classes))
+        cut = np.searchsorted(cls, np.arange(s.head_classes + 1)).tolist()
+        z = np.empty((words, s.per), F32)
         for k in range(s.head_classes):
-            r = by[cut[k] : cut[k + 1]]
-            if not len(r):
-                continue
-            hk, word = h[r], y[r] - k * s.per
-            z = hk @ p["wo"][k] + p["bo"][k]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            i = np.arange(len(r))
-            lp[r] += z[i, word] - np.log(total)
+            a, b = cut[k], cut[k + 1]
+            if b > a:
+                np.matmul(h[a:b], p["wo"][k], out=z[a:b])
+        at = y[:words] - cls[:words] * s.per
+        for a in range(0, words, ROWS):
+            part, own = z[a : a + ROWS], at[a : a + ROWS]
+            i = np.arange(len(own))
+            total = _softmax(part)
+            lp[a : a + ROWS][: len(own)] += np.log(part[i, own] / total)
             if grad:
-                d = e / total[:, None]
-                d[i, word] -= 1
-                g["wo"][k], g["bo"][k] = hk.T @ d, d.sum(axis=0)
-                dh[r] += d @ p["wo"][k].T
+                part *= (1 / total)[:, None]
+                part[i, own] -= 1
+        if grad:
+            for k in range(s.head_classes):
+                a, b = cut[k], cut[k + 1]
+                if b > a:
+                    np.matmul(h[a:b].T, z[a:b], out=g["wo"][k])
+                    dh[a:b] += z[a:b] @ p["wo"][k][:-1].T
         return real, lp, g, dh
 
     def score(self, docs: list[np.ndarray], lanes: int = 768, steps: int = 32) -> np.ndarray:
@@ -177,7 +204,7 @@ class Net:
             # The state that predicts a token has seen the tokens before it: the start, then its predecessors.
             states, h, _ = self.forward(lay.x[w, :live], lay.fresh[w, :live], h[:live], False)
             y = lay.y[w, :live].ravel()
-            real, lp, _, _ = self.output(states.reshape(-1, self.s.hidden), y, False)
+            real, lp, _, _ = self.output(states.reshape(-1, self.s.hidden + 1), y, False)
             part = np.zeros(len(y), F32)
             part[real] = lp
             out[w, :live] = part.reshape(-1, live)
@@ -193,14 +220,14 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.tokens = 0
 
-    def learn(self, docs: list[np.ndarray], lanes: int = 256, steps: int = 16) -> None:
+    def learn(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 16) -> None:
         s = self.net.s
         lay = Lanes(docs, s.start, lanes)
         h = np.zeros((lay.y.shape[1], s.hidden), F32)
         for w, live in lay.windows(steps):
             x, fr, y = lay.x[w, :live], lay.fresh[w, :live], lay.y[w, :live]
             states, h, kept = self.net.forward(x, fr, h[:live], True)
-            real, _, g, dh = self.net.output(states.reshape(-1, s.hidden), y.ravel(), True)
+            real, _, g, dh = self.net.output(states.reshape(-1, s.hidden + 1), y.ravel(), True)
             if not len(real):
                 continue
             self.tokens += len(real)
@@ -211,37 +238,59 @@ class Trainer:
 
     def _back(self, x, fresh_, kept, dout, g) -> None:
         p, n = self.net.p, self.net.s.hidden
-        de = np.zeros((*x.shape, 2 * n), F32)
+        de = np.empty((*x.shape, 2 * n), F32)
         guf, guc = np.zeros_like(p["uf"]), np.zeros_like(p["uc"])
+        up_f, up_c = np.ascontiguousarray(p["uf"].T), np.ascontiguousarray(p["uc"].T)
         dh = np.zeros_like(dout[0])
+        any_fresh = fresh_.any(axis=1).tolist()
         for t in range(len(x) - 1, -1, -1):
             h, f, fh, c = kept[t]
             dh += dout[t]
-            dc = dh * f * (1 - c * c)
-            dfh = dc @ p["uc"].T
-            df = (dh * (c - h) + dfh * h) * f * (1 - f)
+            df = c - h
+            df *= dh
+            dc = c * c
+            np.subtract(1, dc, out=dc)
+            dc *= f
+            dc *= dh
+            dfh = dc @ up_c
+            df += dfh * h
+            keep = 1 - f
+            df *= f
+            df *= keep
             de[t, :, :n], de[t, :, n:] = df, dc
             guf += h.T @ df
             guc += fh.T @ dc
-            dh = dh * (1 - f) + dfh * f + df @ p["uf"].T
-            if fresh_[t].any():
+            dh *= keep
+            dfh *= f
+            dh += dfh
+            dh += df @ up_f
+            if any_fresh[t]:
                 dh *= (~fresh_[t])[:, None]
         flat, ids = de.reshape(-1, 2 * n), x.ravel()
         by = np.argsort(ids, kind="stable")
-        names, first = np.unique(ids[by], return_index=True)
+        ids = ids[by]
+        first = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
         gx = np.zeros_like(p["x"])
-        gx[names] = np.add.reduceat(flat[by], first, axis=0)
+        gx[ids[first]] = np.add.reduceat(flat[by], first, axis=0)
         g["x"], g["uf"], g["uc"] = gx, guf, guc
 
     def _step(self, g, scale: float) -> None:
         self.k += 1
         b1, b2 = 0.9, 0.99
         rate = self.rate * np.sqrt(1 - b2**self.k) / (1 - b1**self.k)
-        norm = scale * float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
+        norm = scale * float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
         for k, v in g.items():
-            v = v * F32(scale)
             m, q = self.m[k], self.v[k]
-            m += (1 - b1) * (v - m)
-            q += (1 - b2) * (v * v - q)
-            self.net.p[k] -= (rate * m / (np.sqrt(q) + 1e-8)).astype(F32)
+            v *= F32(scale)
+            m *= F32(b1)
+            m += F32(1 - b1) * v
+            np.multiply(v, v, out=v)
+            v *= F32(1 - b2)
+            q *= F32(b2)
+            q += v
+            np.sqrt(q, out=v)
+            v += F32(1e-8)
+            np.divide(m, v, out=v)
+            v *= F32(rate)
+            self.net.p[k] -= v

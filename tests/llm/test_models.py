@@ -45,7 +45,7 @@ def test_gradients_and_carried_state(monkeypatch):
 
 def test_lm_fields(spark, plain, unique, empty):
     shape = recurrent.Shape(4, 4, 32, 8)
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(spark, plain, shape=shape, known=40, share=1.0).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(spark, plain, shape=shape, known=40).collect()}
     tokens = {i: [*words(t), "\n"] for i, t in unique.items()}
     c = Counter(w for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
     n, v = sum(c.values()), len(c)
@@ -60,16 +60,77 @@ def test_lm_fields(spark, plain, unique, empty):
 
 
 def test_lm_odd_rows(spark, docs, corpus):
-    got = lm_scoring.score_documents(spark, docs, shape=recurrent.Shape(2, 2, 32, 4), known=10, share=1.0).collect()
+    got = lm_scoring.score_documents(spark, docs, shape=recurrent.Shape(2, 2, 32, 4), known=10).collect()
     assert len(got) == len(corpus) and all(np.isfinite(r["score"]) for r in got)
 
 
-def test_lm_learns_from_every_training_row(spark, plain):
-    def scores(**options):
-        rows = lm_scoring.score_documents(spark, plain, shape=recurrent.Shape(4, 4, 32, 8), known=40, start_docs=5, **options).collect()
-        return np.array([r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])])
-
-    assert np.allclose(scores(), scores(share=1.0), rtol=1e-5)
+def naive_score(net, voc, counts, text):
+    """log10 of a text's probability, one token after the other, state and all."""
+    s, p = net.s, {k: v.astype(np.float64) for k, v in net.p.items()}
+    h, before, total = np.zeros(s.hidden), s.start, 0.0
+    cls_of = lambda w: lm_scoring.tail_class(w)
+    head = {w: k for w, k in voc.ids.items() if k < s.head}
+    tails = {}
+    for w, c in counts.items():
+        if w not in head:
+            n = tails.setdefault(cls_of(w), [0, 0])
+            n[0] += c
+            n[1] += 1
+    for w in [*byte_words(text), b"\n"]:
+        e = p["x"][before]
+        f = 1 / (1 + np.exp(-(e[: s.hidden] + h @ p["uf"])))
+        h = h + f * (np.tanh(e[s.hidden :] + (f * h) @ p["uc"]) - h)
+        one = np.append(h, 1.0)
+        z = one @ p["wc"]
+        cls = head[w] // s.per if w in head else s.head_classes + cls_of(w)
+        total += z[cls] - np.log(np.exp(z).sum())
+        if w in head:
+            z = one @ p["wo"][cls]
+            total += z[head[w] % s.per] - np.log(np.exp(z).sum())
+            before = head[w]
+        else:
+            c, n = tails.get(cls_of(w), (0, 0))
+            total += np.log((counts.get(w, 0) + 0.5) / (c + 0.5 * (n + 1)))
+            before = s.head + cls_of(w)
+    return total / np.log(10)
+
+
+def test_lm_score_equals_brute_force(spark, plain, unique, monkeypatch):
+    shape = recurrent.Shape(4, 4, 32, 8)
+    kept = {}
+
+    def trained(spark, train, voc, scratch, **options):
+        kept["flat"], kept["voc"] = real(spark, train, voc, scratch, **options), voc
+        return kept["flat"]
+
+    real = lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", trained)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(spark, plain, shape=shape, known=40, start_docs=5).collect()}
+    counts = Counter(w for i, t in unique.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*byte_words(t), b"\n"])
+    net = recurrent.Net(shape, recurrent.unflatten(shape, kept["flat"]))
+    for i, t in unique.items():
+        assert got[i] == pytest.approx(naive_score(net, kept["voc"], counts, t), rel=2e-4), i
+
+
+def test_lm_every_training_row_trains_and_helps(spark, monkeypatch):
+    """The tasks' trainers see each training token once, and the model tells held-out texts better than the base."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{(int(rng.integers(0, 5)) + 7 * j) % 35}" for j in range(1500))) for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokens = sum(1501 for k, _ in rows if zlib.crc32(str(k).encode()) % 5 != 1)
+    seen = {}
+
+    class Kept(lm_scoring.Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            seen[name] = out
+            return out
+
+    monkeypatch.setattr(lm_scoring, "Scratch", Kept)
+    got = lm_scoring.score_documents(spark, docs, shape=recurrent.Shape(4, 8, 32, 16), known=100).collect()
+    assert seen["network"].agg({"w": "max"}).first()[0] == tokens
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 10 and all(r["score"] > r["base_score"] for r in held)
 
 
 def test_tail_probabilities_sum_to_one():
