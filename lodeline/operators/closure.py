@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rounds at most; each is one more step away from a seed.
+#: Rounds at most; each is one more step away from a seed. A chain that is longer is an error, never a shorter result.
 MOST_ROUNDS = 5000
 #: Edges up to which a graph is sent to every task, which then walks it from its own seeds.
 SENT_EDGES = 250_000
@@ -22,11 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='lodeline-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read back: their lineage is cut, and they are worked out once."""
+    spark = rows.sparkSession
+    where = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(where)
+    return spark.read.schema(rows.schema).parquet(where)
+
+
 def _walk(sent):
     """Seeds of a partition to the pairs (seed, node) they reach."""
 
@@ -79,6 +89,9 @@ def reach(spark: SparkSession, seeds: DataFrame, edges: DataFrame, *, stop: Data
         if new.isEmpty():
             break
         done.append(f"{root}/{k}")
+    else:
+        if most:
+            raise RuntimeError(f"nodes more than {most} steps away from a seed; raise `most`")
     return spark.read.schema(new.schema).parquet(*done)
 
 

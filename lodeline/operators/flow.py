@@ -37,7 +37,9 @@ def opaque_before(events: DataFrame, scope: str, seq: str, is_opaque: Column) ->
 def prefixes(path: Column, separator: str = "/") -> Column:
     """All proper prefixes of a path at its separators, shortest first."""
     parts = F.split(path, separator)
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), separator))
+    found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), separator))
+    # A path without a separator has none; sequence(1, 0) would count down.
+    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<string>"))
 
 
 def group_overlap(reads: DataFrame, groups: DataFrame, path: str, read: str, group: str, separator: str = "/") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Operations of a product in one row of the fallback, and how many of them are sent to every task.
+PART, MOST_SENT = 1000, 20_000
 TRUE_WORDS = ["1", "true", "yes", "y", "on"]
 
 
@@ -82,12 +84,18 @@ def linked(callers: DataFrame, caller: str, targets: str, operations: DataFrame,
         fallback = (ops.where("_key <> ''"), "SINGLE_PRODUCT_FALLBACK")
     elif totals["n"] == 1:
         fallback = (ops, "SINGLE_OPERATION_FALLBACK")
+    out = exact
     if fallback is None:
         lost = rest.select("_caller")
-        out = exact
     else:
-        # Each caller takes the operations of one product; rows are asked for by the result itself.
-        out = exact.unionByName(free.withColumn("_one", F.lit(1)).join(fallback[0].withColumn("_one", F.lit(1)), "_one").select("_caller", "_op").withColumn("status", F.lit(fallback[1])))
+        # Every caller without a target takes all operations of the one product, so that many rows are the result itself.
+        # The operations stand in numbered parts of about PART, and a caller's row is laid out once a part: an
+        # equi-join on the part's number, spread over callers, with no pair that is not a row of the result.
+        n_parts = -(-totals["n"] // PART)
+        parts = fallback[0].groupBy(F.pmod(F.xxhash64("_op"), F.lit(n_parts)).alias("_part")).agg(F.collect_list("_op").alias("_ops"))
+        asked_parts = free.select("_caller", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))).alias("_part"))
+        got = asked_parts.join(F.broadcast(parts) if totals["n"] <= MOST_SENT else parts, "_part").select("_caller", F.explode("_ops").alias("_op"))
+        out = exact.unionByName(got.withColumn("status", F.lit(fallback[1])))
     out = out.unionByName(lost.select("_caller", F.lit(None).cast(ops.schema["_op"].dataType).alias("_op"), F.lit(code).alias("status")))
     return out.select(F.col("_caller").alias(caller), F.col("_op").alias(operation), "status")
 

@@ -118,7 +118,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     down = F.floor(F.col("event_id") / 3).cast("long")
     value = e.where("event_id > 2").select(down.alias("src"), F.col("event_id").alias("dst"))
     control = e.where("event_id > 2").select((down + 1).alias("src"), F.col("event_id").alias("dst"))
-    seeds = e.where("event_id % 500 = 7").select(F.col("event_id").alias("seed"))
+    seeds = e.select(F.col("event_id").alias("seed"))
     return value, control, seeds, e.where("event_type = 'purchase'").select(F.col("event_id").alias("node"))
 
 
@@ -221,9 +221,9 @@ WITH RECURSIVE v AS (SELECT event_id // 3 AS src, event_id AS dst FROM events WH
 c AS (SELECT event_id // 3 + 1 AS src, event_id AS dst FROM events WHERE event_id > 2),
 e AS (SELECT * FROM v UNION SELECT * FROM c),
 stop AS (SELECT event_id FROM events WHERE event_type = 'purchase'),
-r(seed, node) AS (SELECT event_id, event_id FROM events WHERE event_id % 500 = 7
+r(seed, node) AS (SELECT event_id, event_id FROM events
   UNION SELECT r.seed, e.src FROM r JOIN e ON e.dst = r.node WHERE r.node NOT IN (SELECT event_id FROM stop)),
-d(seed, node) AS (SELECT event_id, event_id FROM events WHERE event_id % 500 = 7
+d(seed, node) AS (SELECT event_id, event_id FROM events
   UNION SELECT d.seed, v.src FROM d JOIN v ON v.dst = d.node WHERE d.node NOT IN (SELECT event_id FROM stop))
 """
 

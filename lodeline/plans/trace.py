@@ -45,8 +45,11 @@ def trace(load, target: dict, voc: Vocabulary, semantics: Semantics, **limits) -
     return out
 
 
-def relative(file, root: str):
-    """A file's path below the root. Local paths come back from Spark as file:/..., whatever they were asked as."""
+def relative(file, root: str | DataFrame):
+    """A file's path below the root. Local paths come back from Spark as file:/..., whatever they were asked as. In a
+    corpus that is a table paths are relative already."""
+    if isinstance(root, DataFrame):
+        return F.col(file) if isinstance(file, str) else file
     local = "://" not in root or root.startswith("file:")
     top = "/" + root.removeprefix("file:").strip("/") if local else root.rstrip("/")
     path = F.regexp_replace(file, "^file:/+", "/") if local else file

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.config import Vocabulary
+from lodeline.operators.closure import shared_folder
 from lodeline.operators.resolve import TRUE_WORDS
 from lodeline.sources import lexer
 
@@ -37,8 +39,15 @@ class LookupIncomplete(OSError):
     pass
 
 
-def files(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
-    """(file, length, modified, content) of every rule file below root; the suffix counts in any case."""
+def files(spark: SparkSession, root: str | DataFrame, *, recursive: bool = True) -> DataFrame:
+    """(file, length, modified, content) of every rule file below root; the suffix counts in any case.
+
+    A corpus may be a table as well: rows of (file, content), with `modified` where they have it.
+    """
+    if isinstance(root, DataFrame):
+        when = F.col("modified") if "modified" in root.columns else F.lit(0).cast("timestamp")
+        rows = root.select("file", F.col("content").cast("binary").alias("content"), when.alias("modified"))
+        return rows.where(F.lower("file").endswith(".ifp")).select("file", F.length("content").cast("long").alias("length"), "modified", "content")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", SUFFIX).option("recursiveFileLookup", str(recursive).lower())
     return reader.load(root).select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"), "content")
 
@@ -104,9 +113,12 @@ class Enclosure:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(file, mark) of every rule file, read now: a mark is the file's length and time. No content is read."""
+    """(file, mark) of every rule file, read now: a mark is the file's length and time. No content is read, and the rows
+    are written to the shared folder, so that later changes of the corpus do not show in them."""
     rows = files(spark, root).select("file", F.concat_ws(":", "length", F.col("modified").cast("double")).alias("mark"))
-    return spark.createDataFrame(rows.collect(), rows.schema)
+    where = f"{shared_folder(spark).rstrip('/')}/listing-{uuid.uuid4().hex}"
+    rows.write.parquet(where)
+    return spark.read.schema(rows.schema).parquet(where)
 
 
 def cached_tags(spark: SparkSession, store, contents: DataFrame, **options) -> DataFrame:

@@ -14,7 +14,9 @@ from lodeline.operators.resolve import fingerprint_diff
 class Store:
     """folder/versions/<id>/<table> and folder/current, which names the version that counts.
 
-    A version is written first and counts from the rename of its pointer on; a build that fails leaves the old one.
+    A version is written first and counts from the rename of its pointer on, which replaces the old pointer in one step; a
+    build that fails leaves the old one. The version before stays until the next one is published, so that readers who
+    hold its tables can finish.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -54,9 +56,14 @@ class Store:
         wanted = self.spark.createDataFrame([], schema).schema
         return have.select(*(F.col(f.name) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
-    def reset(self) -> None:
-        """Forget everything."""
-        self.fs.delete(self._path(self.folder), True)
+    def reset(self, *, keep: tuple[str, ...] = ()) -> None:
+        """Forget everything but the tables to keep, which are published alone."""
+        now = self._current()
+        kept = {n: self.table(n) for n in keep if n in now["tables"]}
+        if kept:
+            self.publish(kept, now["metadata"])
+        else:
+            self.fs.delete(self._path(self.folder), True)
 
     def publish(self, tables: dict[str, DataFrame], metadata: dict[str, str] | None = None, checks: dict[str, DataFrame] | None = None, files: int | None = None) -> str:
         """Write a version and make it current. checks: tables that must be empty, for instance orphaned rows.
@@ -79,12 +86,13 @@ class Store:
         finally:
             out.close()
         before = self._current()["version"]
-        # rename() of this interface does not replace; the pointer is gone only between the two calls.
-        self.fs.delete(current, False)
-        if not self.fs.rename(staged, current):
-            raise OSError(f"could not publish {version}")
-        if before:
-            self.fs.delete(self._path(f"{self.folder}/versions/{before}"), True)
+        jvm = self.spark._jvm
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, current, how)
+        for status in self.fs.listStatus(self._path(f"{self.folder}/versions")):
+            if status.getPath().getName() not in (version, before):
+                self.fs.delete(status.getPath(), True)
         return version
 
 

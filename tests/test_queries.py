@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from lodeline.plans.queries import ORACLE_SQL, QUERIES
+from lodeline.plans import corpora, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | corpora.QUERIES, queries.ORACLE_SQL | corpora.ORACLE_SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
