@@ -5,7 +5,7 @@ import pytest
 
 from lodeline.llm.anchors import segments
 from lodeline.llm.induced import Spill, repeated, sorted_suffixes
-from lodeline.llm import repeats
+from lodeline.llm import induced, repeats
 from lodeline.llm.repeats import remove_repeats, without_repeats
 
 
@@ -22,7 +22,8 @@ def test_suffixes_and_common_prefixes(seed, tmp_path):
     cap = int(r.integers(1, 20))
     spill = Spill(f"file://{tmp_path}")
     # A small memory spills tuples to files; a small base makes the reduced text be induced again.
-    parts = list(sorted_suffixes(t, cap, spill, memory=int(r.integers(1, 30)), base=int(r.integers(0, 4))))
+    # Few bytes of arrays put the text and the rest in pages.
+    parts = list(sorted_suffixes(t, cap, spill, memory=int(r.integers(1, 30)), base=int(r.integers(0, 4)), arrays=int(r.choice([0, 300, 1 << 20]))))
     spill.clear()
     assert not list(tmp_path.iterdir())
     b = t.tobytes()
@@ -41,11 +42,13 @@ def test_repeated_windows():
     for _ in range(60):
         n, size = int(r.integers(1, 150)), int(r.integers(1, 6))
         t = (r.integers(0, 2, n) + 97).astype(np.uint8)
-        when = np.where(r.random(n) < 0.6, r.permutation(n), -1)
-        when[max(0, n - size + 1) :] = -1
+        counts = (r.random(n) < 0.6).astype(np.uint8)
+        counts[max(0, n - size + 1) :] = 0
         b = t.tobytes()
-        want = [bool(when[i] >= 0 and any(0 <= when[j] < when[i] and b[j : j + size] == b[i : i + size] for j in range(n))) for i in range(n)]
-        assert repeated(t, when, size, Spill(None), memory=16, base=2).tolist() == want
+        want = [int(counts[i] and any(counts[j] and b[j : j + size] == b[i : i + size] for j in range(i))) for i in range(n)]
+        for arrays in (0, 1 << 20):
+            got = repeated(t, counts, size, Spill(None), memory=int(r.integers(1, 20)), base=2, arrays=arrays)
+            assert got.part(0, n).tolist() == want
 
 
 def test_segments_cover_windows_and_depend_on_bytes():
@@ -81,11 +84,63 @@ def brute(texts, size):
 @pytest.mark.parametrize("size,gram", [(100, 32), (20, 8)])
 def test_against_brute_force(spark, plain, unique, size, gram):
     want = brute(unique, size)
-    got = without_repeats(spark, plain, size=size, gram=gram, memory=500, shard_bytes=2000).collect()
-    assert len(got) == len(unique)
-    for r in got:
-        assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
-        assert r["n_bytes"] == len(unique[r["doc_id"]].encode())
+    for options in ({"shard_bytes": 2000}, {"arrays": 3000, "base": 50}, {}):
+        got = without_repeats(spark, plain, size=size, gram=gram, **({"memory": 500} | options if options else {})).collect()
+        assert len(got) == len(unique)
+        for r in got:
+            assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
+            assert r["n_bytes"] == len(unique[r["doc_id"]].encode())
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = "".join(f"a{k:03}." for k in range(60)), "".join(f"b{k:03}." for k in range(60))
+    rows = [(1, a), (1, b), (2, a + "x" * 120), (3, "y" * 99 + b[50:]), (3, a), (4, None), (4, b)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # Within 120 times one letter each of the windows after the first is a repeat.
+    assert got == sorted([(1, 300, 0), (1, 300, 0), (2, 420, 300 + 119), (3, 349, 250), (3, 300, 300), (4, 0, 0), (4, 300, 300)])
+
+
+def test_a_shard_far_over_its_memory(tmp_path, monkeypatch):
+    """A shard whose text alone is many times what a sort may hold: pages, tuples and names spill, and induction recurs."""
+    r = np.random.default_rng(8)
+    words = [bytes(r.integers(97, 123, int(r.integers(2, 9))).astype(np.uint8)) for _ in range(100)]
+    data = b" ".join(words[int(k)] for k in r.zipf(1.3, 8000) % 100)[:16_000]
+    data = data[:12_000] + data[4000:7000] + data[12_000:]
+    spill, size, options = Spill(f"file://{tmp_path}"), 30, {"memory": 300, "base": 2500, "arrays": 4000}
+    most: dict = {}
+    keep, push = induced.Pool.keep, induced.Buckets.push
+
+    def kept(pool, *a):
+        keep(pool, *a)
+        most["bytes"] = max(most.get("bytes", 0), pool.used)
+
+    def pushed(bucket, *a):
+        push(bucket, *a)
+        most["rows"] = max(most.get("rows", 0), bucket.held)
+
+    monkeypatch.setattr(induced.Pool, "keep", kept)
+    monkeypatch.setattr(induced.Buckets, "push", pushed)
+    shard = repeats._Shard(spill, options["arrays"])
+    step = 500
+    for k, a in enumerate(range(0, len(data) - size + 1, step)):
+        n = min(step, len(data) - size + 1 - a)
+        shard.add(repeats.pd.DataFrame({"doc": [1], "key": [0], "start": [a], "n": [n], "bytes": [data[a : a + n - 1 + size]]}), size)
+    assert shard.room.pool is not None
+    depth = []
+    marks = repeated(shard.text, shard.counts, size, spill, depth=depth, **options)
+    runs = [tuple(x) for f in shard.runs(marks, size, 16) for x in f[["start", "n"]].itertuples(index=False)]
+    # The text alone is over four times what the pages may take, the working arrays together over sixty times.
+    assert depth and depth[0] > options["base"] and spill.written > 5 * len(data) > 20 * options["arrays"]
+    assert most["bytes"] <= options["arrays"] and most["rows"] <= max(options["memory"], options["base"])
+    spill.clear()
+    assert not list(tmp_path.iterdir())
+    seen, want = set(), set()
+    for k in range(len(data) - size + 1):
+        w = data[k : k + size]
+        if w in seen:
+            want.add(k)
+        seen.add(w)
+    assert {k for s, n in runs for k in range(s, s + n)} == want and want
 
 
 def test_odd_rows(spark, docs, corpus, empty):
@@ -127,7 +182,7 @@ def test_an_anchor_far_over_memory_is_not_gathered(spark, monkeypatch):
         def inner(batches):
             parts = [b for b in batches if len(b)]
             for p in parts:
-                once = p.drop_duplicates(["h", "doc", "start"])
+                once = p.drop_duplicates(["h", "doc", "key", "start"])
                 # Both edge anchors hold far more than a shard's bytes; none of that comes to a sort.
                 assert once["bytes"].str.len().groupby(once["h"]).sum().max() <= 2000
             yield from run(iter(parts))
