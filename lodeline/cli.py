@@ -36,10 +36,15 @@ def _parser() -> argparse.ArgumentParser:
         t.add_argument(name)
     t.add_argument("--max-files", type=int)
     t.add_argument("--max-contexts", type=int)
+    cache = t.add_mutually_exclusive_group()
+    cache.add_argument("--cache-dir", help="folder of an eid index kept up to date, read in place of the corpus")
+    cache.add_argument("--no-cache", action="store_true", help="search the corpus for an eid anew")
     i = sub.add_parser("inspect", help="census of rule classes and findings")
     i.add_argument("root")
     i.add_argument("--output", required=True)
     i.add_argument("--max-samples", type=int, default=5)
+    i.add_argument("--max-files", type=int, default=10_000)
+    i.add_argument("--quiet", action="store_true")
     for c in (b, t, i):
         c.add_argument("--rules-config")
     for c in (t, i):
@@ -87,7 +92,7 @@ def _report(spark, args) -> int:
 
 def _trace(spark, args) -> int:
     from lodeline.plans import locate, report, trace
-    from lodeline.sources import corpus
+    from lodeline.sources.store import Store
 
     began = time.time()
     request = json.loads(Path(args.request).read_text(encoding="utf-8")) if args.request else {}
@@ -96,7 +101,9 @@ def _trace(spark, args) -> int:
     load = lambda f: Path(args.root, f).read_bytes()
     if args.eid:
         asked = spark.createDataFrame([(args.eid,)], "eid string")
-        files = [args.file] if args.file else [r["file"] for r in locate.candidates(spark, args.root, asked).select(trace.relative("file", args.root).alias("file")).collect()]
+        # The index is known by file length and time; only new and changed files are read for it.
+        index = locate.refresh(spark, Store(spark, args.cache_dir), args.root) if args.cache_dir else None
+        files = [args.file] if args.file else [r["file"] for r in locate.candidates(spark, args.root, asked, index).select(trace.relative("file", args.root).alias("file")).collect()]
         targets = [locate.located(load, args.eid, files, args.entry)]
     elif args.file:
         if bool(args.field) == bool(args.rule_eid):
@@ -127,7 +134,9 @@ def _inspect(spark, args) -> int:
     from lodeline.plans import census
 
     config = read_config(args.rules_config)
-    rows = census.inspected(spark, args.root, config=config, variables=_variables(args.path_var))
+    if min(args.max_files, args.max_samples) < 1:
+        raise ValueError("inspect limits must be positive")
+    rows = census.inspected(spark, args.root, config=config, variables=_variables(args.path_var), max_files=args.max_files)
     tables = census.census(rows, max_samples=args.max_samples)
     out = Path(args.output)
     out.mkdir(parents=True, exist_ok=True)
@@ -135,6 +144,9 @@ def _inspect(spark, args) -> int:
     (out / "census.json").write_text(json.dumps({k: [json.loads(x) for x in t.toJSON().collect()] for k, t in tables.items()}, ensure_ascii=False, indent=2), encoding="utf-8")
     (out / "todo.md").write_text(census.todo_markdown(tables), encoding="utf-8")
     (out / "rules-config.json").write_text(json.dumps(config, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    if not args.quiet:
+        c = tables["coverage"].first()
+        print(f"Census: {out}; files={c['files_scanned']}; rules={c['rules']}; understood={c['semantically_understood_rules']}")
     return 0
 
 

@@ -46,20 +46,6 @@ def joined_path(base: Column, path: Column) -> Column:
     return F.when((b == "") | p.rlike("^(?i)https?://"), p).when(p == "", b).otherwise(both)
 
 
-def compact(value: Column, most: int = 320) -> Column:
-    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most - 1), F.lit("…"))).otherwise(value)
-
-
-def cell(value: Column) -> Column:
-    """A Markdown table cell."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ")
-
-
-def sorted_json(bag: Column) -> Column:
-    """A map as JSON with its keys in order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(bag))))
-
-
 def duration(seconds: float) -> str:
     """Hours, minutes and seconds, the leading ones left out while they are zero."""
     hours, rest = divmod(max(0, int(seconds)), 3600)

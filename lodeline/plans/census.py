@@ -149,12 +149,21 @@ def _class(n: Node) -> str:
     return n.attributes.get("RuleClassName", n.attributes.get("ClassType", ""))
 
 
-def inspected(spark: SparkSession, root: str, *, config: dict | None = None, variables: dict[str, str] | None = None) -> DataFrame:
-    """Rows of kind file, rule and finding of a corpus."""
+def inspected(spark: SparkSession, root: str, *, config: dict | None = None, variables: dict[str, str] | None = None, max_files: int | None = None) -> DataFrame:
+    """Rows of kind file, rule and finding of a corpus. max_files: inspect the first so many files by name; that others
+    were left out is a finding."""
+    if max_files is not None and max_files < 1:
+        raise ValueError("inspect limits must be positive")
     closure.shared_folder(spark)  # where checkpoints go
     voc, semantics = vocabulary(config or {}), Semantics(config or {})
     contents = corpus.files(spark, root).select(relative(F.col("file"), root).alias("file"), "content")
     names = [f.split()[0] for f in KIND.split(",")]
+    everything, left_out = contents, None
+    if max_files is not None and (discovered := contents.count()) > max_files:
+        first = contents.select("file").orderBy(F.lower("file"), "file").limit(max_files)
+        contents = contents.join(first, "file", "left_semi")
+        told = json.dumps({"discovered": discovered, "max_files": max_files, "omitted": discovered - max_files})
+        left_out = spark.createDataFrame([("", None, None, "finding", None, None, None, None, "SCAN_FILE_LIMIT", told)], KIND)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         look = Inspector(voc, semantics, variables or {}, None)
@@ -165,12 +174,13 @@ def inspected(spark: SparkSession, root: str, *, config: dict | None = None, var
 
     rows = contents.mapInPandas(run, KIND).checkpoint()
     calls = rows.where("row = 'call'")
-    there = contents.select(F.col("file").alias("path")).distinct()
+    there = everything.select(F.col("file").alias("path")).distinct()
     wanted = calls.select("file", "offset", F.explode(F.from_json("details", "struct<paths: array<string>>")["paths"]).alias("path"))
     hits = wanted.join(there, "path").groupBy("file", "offset").agg(F.countDistinct("path").alias("n"))
     missed = calls.join(hits, ["file", "offset"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> 1")
     missed = missed.withColumn("code", F.when(F.col("n") == 0, "COMPONENT_NOT_FOUND").otherwise("COMPONENT_NOT_UNIQUE")).withColumn("row", F.lit("finding")).drop("n")
-    return rows.where("row <> 'call'").unionByName(missed.select(*rows.columns))
+    out = rows.where("row <> 'call'").unionByName(missed.select(*rows.columns))
+    return out if left_out is None else out.unionByName(left_out)
 
 
 def census(rows: DataFrame, *, max_samples: int = 5) -> dict[str, DataFrame]:

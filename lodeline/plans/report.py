@@ -34,20 +34,20 @@ def contracts_markdown(made) -> str:
     cols = ["rule_name", "rule_class", "product_name", "phase_name", "classification", "disabled", "source_name", "request", "filter_expr", "request_group", "results_group", "output_group"]
     rows = ops.select(*cols).collect()
     lines += _table(cols, rows) if rows else ["No API rule was recognized.", ""]
-    lines += ["## Data sources", "", *_table(["source_name", "class_type", "base_url"], made.data_sources.orderBy(*ORDER["data_sources"]).select("source_name", "class_type", "base_url").collect())]
-    lines += ["## Product mappings", "", *_table(["product_name", "mapping_prefix", "exported_property", "property_key", "direction"], made.integrator_mappings.orderBy(*ORDER["integrator_mappings"]).select("product_name", "mapping_prefix", "exported_property", "property_key", "direction").collect())]
+    lines += ["## Data sources", "", *_table(["source_name", "class_type", "base_url"], made.data_sources.orderBy(*ORDER["data_sources"]).select("source_name", "class_type", "base_url").toLocalIterator())]
+    lines += ["## Product mappings", "", *_table(["product_name", "mapping_prefix", "exported_property", "property_key", "direction"], made.integrator_mappings.orderBy(*ORDER["integrator_mappings"]).select("product_name", "mapping_prefix", "exported_property", "property_key", "direction").toLocalIterator())]
     lines += ["## Callers", ""]
     named = made.odata_operations.select(F.struct("integrator_file", "tag_offset").alias("operation"), F.col("rule_name").alias("calls"))
     # Links and mappings of a caller come to it as sorted lists.
     links = made.caller_operation_links.join(named, "operation").groupBy("reference").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "resolution_status", "calls"))).alias("calls"))
     maps = made.caller_mappings.groupBy(F.struct("caller_file", "tag_offset").alias("reference")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "mapping_prefix", "direction", "solution_data_item", F.lit("<->"), "property_key"))).alias("maps"))
     callers = made.caller_references.withColumn("reference", F.struct("caller_file", "tag_offset")).join(links, "reference", "left").join(maps, "reference", "left").orderBy(*ORDER["caller_references"])
-    for c in callers.collect():
+    for c in callers.toLocalIterator():
         lines += [f"### {_cell(c['rule_name']) or _cell(c['rule_eid']) or 'Unnamed rule'}", "", f"- file: `{_cell(c['caller_file'])}` at byte {c['tag_offset']}", f"- class: `{_cell(c['rule_class'])}`, {c['classification']}, disabled: {'yes' if c['disabled'] else 'no'}", f"- selector: `{_cell(c['selector'])}`"]
         lines += [f"- operation: {_cell(x)}" for x in c["calls"] or ["unresolved"]] + [f"- mapping: {_cell(x)}" for x in c["maps"] or []] + [""]
     rank = rollup.ranked(F.col("severity"), ["ERROR", "WARNING"])
-    lines += ["## Diagnostics", "", *_table(["severity", "code", "file", "offset", "message"], made.diagnostics.orderBy(rank, "file_path", "tag_offset").select("severity", "code", "file_path", "tag_offset", "message").collect())]
-    lines += ["## Rule classes", "", *_table(["class", "count"], made.rule_class_census.orderBy(F.desc("occurrence_count"), "rule_class").select("rule_class", "occurrence_count").collect())]
+    lines += ["## Diagnostics", "", *_table(["severity", "code", "file", "offset", "message"], made.diagnostics.orderBy(rank, "file_path", "tag_offset").select("severity", "code", "file_path", "tag_offset", "message").toLocalIterator())]
+    lines += ["## Rule classes", "", *_table(["class", "count"], made.rule_class_census.orderBy(F.desc("occurrence_count"), "rule_class").select("rule_class", "occurrence_count").toLocalIterator())]
     return "\n".join(lines)
 
 

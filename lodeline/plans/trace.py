@@ -1,13 +1,17 @@
 """Lineage of targets over a corpus: which files a target can reach, expansion per target, and its relations.
 
-Files a target can reach are found first, as a closure over the call edges of all files (a join per round). Then each
-target's reachable files come together in one group, the limit of files bounds how many are opened in the order of calls,
-and the expansion, the slice and the assessment run there; targets are independent of each other and run side by side.
+Files a target can reach are found first. In a folder they are named level by level: the targets' files are read for
+their calls, then the files called, and so on, so that files nobody calls are never opened, however large the folder.
+Beyond MOST_NAMED files, and in a corpus that is a table, they are a closure over the call edges of all files (a join per
+round). Then each target's reachable files come together in one group, the limit of files bounds how many are opened in
+the order of calls, and the expansion, the slice and the assessment run there; targets are independent of each other and
+run side by side.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from posixpath import normpath
 
@@ -77,12 +81,53 @@ def call_edges(contents: DataFrame, voc: Vocabulary, semantics: Semantics, varia
     return contents.select("file", "content").mapInPandas(run, "src string, dst string")
 
 
+#: Files that are named one by one; each name is some bytes on the driver.
+MOST_NAMED = 10_000
+
+
+def _named_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame | None:
+    """(file, content) of those of the named files that are there, no other file being listed or read."""
+    top = root.rstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(top).getFileSystem(conf)
+    there = [f"{top}/{n}" for n in names if n and not n.startswith(("..", "/")) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{top}/{n}"))]
+    if not there:
+        return None
+    # A path is read as a pattern, so its special characters are escaped.
+    rows = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there])
+    return rows.select(relative(F.col("path"), root).alias("file"), "content")
+
+
+def reachable(spark: SparkSession, root: str, starts: list[str], voc: Vocabulary, semantics: Semantics, variables: dict[str, str], *, most: int = MOST_NAMED) -> tuple[list[str], list[tuple[str, str]]] | None:
+    """(files, call edges) that starts reach, found level by level; None where there are more than `most` files."""
+    seen, edges, level = set(), [], sorted({normpath(f) for f in starts})
+    while level:
+        seen.update(level)
+        if len(seen) > most:
+            return None
+        rows = _named_files(spark, root, level)
+        found = [(r["src"], r["dst"]) for r in call_edges(rows, voc, semantics, variables).distinct().collect()] if rows is not None else []
+        edges += found
+        level = sorted({src for src, _ in found} - seen)
+    return sorted(seen), edges
+
+
 def trace_targets(spark: SparkSession, root: str, targets: DataFrame, *, config: dict | None = None, variables: dict[str, str] | None = None, max_files: int = 50, max_contexts: int = 5000) -> DataFrame:
     """(target_id, evidence): a JSON document per target. targets: columns of TARGET, scenario as JSON."""
     voc, semantics, variables = vocabulary(config or {}), Semantics(config or {}), variables or {}
-    contents = corpus.files(spark, root).select(relative(F.col("file"), root).alias("file"), "content")
-    edges = call_edges(contents, voc, semantics, variables)
     asked = targets.withColumn("file", F.regexp_replace("file", r"\\", "/"))
+    contents = edges = None
+    if isinstance(root, str):
+        starts = [r["file"] for r in asked.select("file").distinct().limit(MOST_NAMED + 1).collect()]
+        found = reachable(spark, root, starts, voc, semantics, variables) if len(starts) <= MOST_NAMED else None
+        if found is not None:
+            nothing = spark.createDataFrame([], "file string, content binary")
+            contents = _named_files(spark, root, found[0]) if found[0] else nothing
+            contents = nothing if contents is None else contents
+            edges = spark.createDataFrame(found[1], "src string, dst string")
+    if edges is None:
+        contents = corpus.files(spark, root).select(relative(F.col("file"), root).alias("file"), "content")
+        edges = call_edges(contents, voc, semantics, variables)
     reached = closure.reach(spark, asked.select(F.col("file").alias("seed")).distinct(), edges)
     # Every file that a target can reach is at hand; the expansion opens at most max_files, in the order of calls.
     wanted = asked.join(reached, asked["file"] == reached["seed"])

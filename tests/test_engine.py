@@ -79,6 +79,58 @@ def test_a_file_late_in_the_alphabet_is_held(spark, tmp_path):
     assert "Get" in {x["name"] for x in e["events"]}
 
 
+def test_only_files_that_are_called_are_read(spark, tmp_path):
+    root = lineage(tmp_path / "l")
+    folder = tmp_path / "l"
+    (folder / "odd [name].ifp").write_text("<Project><Products><Product Name='Odd'><Phase Name='P'><Rule eid='OD' RuleClassName='CallComponentRule' SelectComponent='Screen.ifp' ComponentList='Screen'/></Phase></Product></Products></Project>")
+    for k in range(5):  # files that a reader would fail on
+        (folder / f"unread{k}.ifp").write_bytes(b"<Rule eid='S5'")
+        (folder / f"unread{k}.ifp").chmod(0)
+    names, edges = trace.reachable(spark, root, ["Screen.ifp"], vocabulary({}), Semantics({}), {})
+    assert names == ["Api.ifp", "Screen.ifp"] and edges == [("Api.ifp", "Screen.ifp")]
+    _, e = run(spark, root, field="Desk.Title")
+    assert sorted(e["files"]) == ["Api.ifp", "Screen.ifp"]
+    got = trace.trace_targets(spark, root, spark.createDataFrame([(1, "odd [name].ifp", None, "OD", None, None)], trace.TARGET))
+    assert sorted(json.loads(got.first()["evidence"])["files"]) == ["Api.ifp", "Screen.ifp", "odd [name].ifp"]
+    assert trace.reachable(spark, root, ["Screen.ifp"], vocabulary({}), Semantics({}), {}, most=1) is None
+    gone = trace.trace_targets(spark, root, spark.createDataFrame([(1, "none.ifp", None, "X", None, None)], trace.TARGET))
+    assert "FILE_ERROR" in gone.first()["evidence"]
+
+
+def test_paths_without_a_separator_have_no_prefix(spark):
+    from pyspark.sql import functions as F
+
+    from lodeline.operators import flow, resolve
+
+    rows = spark.createDataFrame([("a",), ("a/b/c",), (None,), ("",)], "p string").select(flow.prefixes(F.col("p")).alias("x")).collect()
+    assert [r["x"] for r in rows][:2] == [[], ["a", "a/b"]] and rows[3]["x"] == []
+    ops = spark.createDataFrame([(k, "One") for k in range(2500)], "op long, product string")
+    callers = spark.createDataFrame([(1, []), (2, None), (3, ["one"]), (4, ["two"])], "caller long, targets array<string>")
+    got = {(r["caller"], r["status"]): r["count"] for r in resolve.linked(callers, "caller", "targets", ops, "op", "product").groupBy("caller", "status").count().collect()}
+    assert got == {(1, "SINGLE_PRODUCT_FALLBACK"): 2500, (2, "SINGLE_PRODUCT_FALLBACK"): 2500, (3, "EXACT_PRODUCT"): 2500, (4, "AMBIGUOUS_OPERATION_TARGET"): 1}
+
+
+def test_inspect_says_what_it_left_out(spark, tmp_path, capsys):
+    from lodeline.cli import main
+
+    root = lineage(tmp_path / "x")
+    tables = census.census(census.inspected(spark, root, max_files=1))
+    assert {r["code"]: r["n"] for r in tables["findings"].collect()} == {"SCAN_FILE_LIMIT": 1} and tables["coverage"].first()["files_scanned"] == 1
+    assert main(["inspect", root, "--output", str(tmp_path / "o"), "--max-files", "1", "--quiet"], spark) == 0 and not capsys.readouterr().out
+    assert main(["inspect", root, "--output", str(tmp_path / "o"), "--max-files", "0"], spark) == 1
+    assert main(["trace", root, "--eid", "S5", "--cache-dir", f"file://{tmp_path}/idx", "--output", str(tmp_path / "t")], spark) == 0
+
+
+def test_long_chains_raise(spark):
+    from lodeline.operators.closure import reach
+
+    edges = spark.createDataFrame([(k + 1, k) for k in range(6)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "seed long")
+    assert reach(spark, seeds, edges, sent_edges=0, most=7).count() == 7
+    with pytest.raises(RuntimeError):
+        reach(spark, seeds, edges, sent_edges=0, most=3)
+
+
 def test_lineage_over_files(spark, tmp_path):
     root = lineage(tmp_path / "l")
     got, e = run(spark, root, field="Desk.Title")
