@@ -60,22 +60,27 @@ def relative(file, root: str | DataFrame):
     return F.substring(path, len(top) + 2, 1 << 30)
 
 
+def file_calls(file: str, content: bytes, voc: Vocabulary, semantics: Semantics, variables: dict[str, str]) -> set[tuple[str, str]]:
+    """(src, dst): the file dst calls a component that may be the file src."""
+    out = set()
+    try:
+        for t in lexer.tags(content, names=("Rule",)):
+            bag = t.bag()
+            cls = bag.get("RuleClassName", bag.get("ClassType", ""))
+            spec = semantics.of(cls)
+            if spec["kind"] == "call" and (value := selector(bag, spec, voc.names("selector", cls))):
+                out |= {(p, file) for p in component_paths(value, file, variables) or ()}
+    except (lexer.FileError, UnicodeError):
+        pass  # the trace that meets the file says so
+    return out
+
+
 def call_edges(contents: DataFrame, voc: Vocabulary, semantics: Semantics, variables: dict[str, str]) -> DataFrame:
     """(src, dst): dst calls a component that may be the file src. One pass over all files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = set()
-            for file, content in zip(pdf["file"], pdf["content"]):
-                try:
-                    for t in lexer.tags(bytes(content), names=("Rule",)):
-                        bag = t.bag()
-                        cls = bag.get("RuleClassName", bag.get("ClassType", ""))
-                        spec = semantics.of(cls)
-                        if spec["kind"] == "call" and (value := selector(bag, spec, voc.names("selector", cls))):
-                            out |= {(p, file) for p in component_paths(value, file, variables) or ()}
-                except (lexer.FileError, UnicodeError):
-                    continue  # the trace that meets the file says so
+            out = set().union(*(file_calls(f, bytes(c), voc, semantics, variables) for f, c in zip(pdf["file"], pdf["content"])))
             yield pd.DataFrame(sorted(out), columns=["src", "dst"])
 
     return contents.select("file", "content").mapInPandas(run, "src string, dst string")
@@ -85,50 +90,98 @@ def call_edges(contents: DataFrame, voc: Vocabulary, semantics: Semantics, varia
 MOST_NAMED = 10_000
 
 
-def _named_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame | None:
-    """(file, content) of those of the named files that are there, no other file being listed or read."""
-    top = root.rstrip("/")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(top).getFileSystem(conf)
-    there = [f"{top}/{n}" for n in names if n and not n.startswith(("..", "/")) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{top}/{n}"))]
-    if not there:
-        return None
-    # A path is read as a pattern, so its special characters are escaped.
-    rows = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there])
-    return rows.select(relative(F.col("path"), root).alias("file"), "content")
+#: Bytes of a level's files up to which the driver reads them itself; a job takes longer than that.
+DRIVER_BYTES = 8 << 20
+
+
+class _Folder:
+    """Files of a folder by name, no others being listed or read."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.top = spark, root, root.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.top).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.sizes: dict[str, int | None] = {}
 
+    def size(self, name: str) -> int | None:
+        """Bytes of a file; None where there is none below the root."""
+        if name not in self.sizes:
+            where = self.path(f"{self.top}/{name}")
+            there = not name.startswith(("..", "/")) and self.fs.exists(where)
+            self.sizes[name] = int(self.fs.getFileStatus(where).getLen()) if there else None
+        return self.sizes[name]
 
-def reachable(spark: SparkSession, root: str, starts: list[str], voc: Vocabulary, semantics: Semantics, variables: dict[str, str], *, most: int = MOST_NAMED) -> tuple[list[str], list[tuple[str, str]]] | None:
+    def read(self, name: str) -> bytes:
+        stream = self.fs.open(self.path(f"{self.top}/{name}"))
+        try:
+            return bytes(stream.readNBytes(self.size(name)))
+        finally:
+            stream.close()
+
+    def rows(self, names: list[str]) -> DataFrame:
+        """(file, content) of those that are there."""
+        there = [f"{self.top}/{n}" for n in names if self.size(n) is not None]
+        if not there:
+            return self.spark.createDataFrame([], "file string, content binary")
+        # A path is read as a pattern, so its special characters are escaped.
+        found = self.spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there])
+        return found.select(relative(F.col("path"), self.root).alias("file"), "content")
+
+
+def reachable(folder: _Folder, starts: list[str], voc: Vocabulary, semantics: Semantics, variables: dict[str, str], *, most: int = MOST_NAMED) -> tuple[list[str], list[tuple[str, str]]] | None:
     """(files, call edges) that starts reach, found level by level; None where there are more than `most` files."""
-    seen, edges, level = set(), [], sorted({normpath(f) for f in starts})
+    seen, edges, level = set(), set(), sorted({normpath(f) for f in starts})
     while level:
         seen.update(level)
         if len(seen) > most:
             return None
-        rows = _named_files(spark, root, level)
-        found = [(r["src"], r["dst"]) for r in call_edges(rows, voc, semantics, variables).distinct().collect()] if rows is not None else []
-        edges += found
+        there = [n for n in level if folder.size(n) is not None]
+        if sum(map(folder.size, there)) <= DRIVER_BYTES:
+            found = set().union(*(file_calls(n, folder.read(n), voc, semantics, variables) for n in there))
+        else:
+            found = {(r["src"], r["dst"]) for r in call_edges(folder.rows(there), voc, semantics, variables).distinct().collect()}
+        edges |= found
         level = sorted({src for src, _ in found} - seen)
-    return sorted(seen), edges
+    return sorted(seen), sorted(edges)
+
+
+def _pairs(starts: list[str], edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(start, file) of all that each start reaches."""
+    calls: dict[str, list[str]] = {}
+    for src, dst in edges:
+        calls.setdefault(dst, []).append(src)
+    out = []
+    for start in starts:
+        done, todo = {start}, [start, normpath(start)]
+        while todo:
+            for n in calls.get(todo.pop(), ()):
+                if n not in done:
+                    done.add(n)
+                    todo.append(n)
+        out += [(start, n) for n in done]
+    return out
 
 
 def trace_targets(spark: SparkSession, root: str, targets: DataFrame, *, config: dict | None = None, variables: dict[str, str] | None = None, max_files: int = 50, max_contexts: int = 5000) -> DataFrame:
     """(target_id, evidence): a JSON document per target. targets: columns of TARGET, scenario as JSON."""
     voc, semantics, variables = vocabulary(config or {}), Semantics(config or {}), variables or {}
     asked = targets.withColumn("file", F.regexp_replace("file", r"\\", "/"))
-    contents = edges = None
+    contents = edges = reached = None
     if isinstance(root, str):
         starts = [r["file"] for r in asked.select("file").distinct().limit(MOST_NAMED + 1).collect()]
-        found = reachable(spark, root, starts, voc, semantics, variables) if len(starts) <= MOST_NAMED else None
+        folder = _Folder(spark, root)
+        found = reachable(folder, starts, voc, semantics, variables) if len(starts) <= MOST_NAMED else None
         if found is not None:
-            nothing = spark.createDataFrame([], "file string, content binary")
-            contents = _named_files(spark, root, found[0]) if found[0] else nothing
-            contents = nothing if contents is None else contents
-            edges = spark.createDataFrame(found[1], "src string, dst string")
-    if edges is None:
+            contents = folder.rows(found[0])
+            if len(starts) * len(found[0]) <= closure.SENT_EDGES:
+                reached = spark.createDataFrame(_pairs(starts, found[1]), "seed string, node string")
+            else:
+                edges = spark.createDataFrame(found[1], "src string, dst string")
+    if contents is None:
         contents = corpus.files(spark, root).select(relative(F.col("file"), root).alias("file"), "content")
         edges = call_edges(contents, voc, semantics, variables)
-    reached = closure.reach(spark, asked.select(F.col("file").alias("seed")).distinct(), edges)
+    if reached is None:
+        reached = closure.reach(spark, asked.select(F.col("file").alias("seed")).distinct(), edges)
     # Every file that a target can reach is at hand; the expansion opens at most max_files, in the order of calls.
     wanted = asked.join(reached, asked["file"] == reached["seed"])
     held = wanted.select("target_id", "field", "rule_eid", "entry", "scenario", F.col("file").alias("start"), F.col("node")).join(contents.withColumnRenamed("file", "node"), "node", "left")

@@ -79,20 +79,22 @@ def test_a_file_late_in_the_alphabet_is_held(spark, tmp_path):
     assert "Get" in {x["name"] for x in e["events"]}
 
 
-def test_only_files_that_are_called_are_read(spark, tmp_path):
+def test_only_files_that_are_called_are_read(spark, tmp_path, monkeypatch):
     root = lineage(tmp_path / "l")
     folder = tmp_path / "l"
     (folder / "odd [name].ifp").write_text("<Project><Products><Product Name='Odd'><Phase Name='P'><Rule eid='OD' RuleClassName='CallComponentRule' SelectComponent='Screen.ifp' ComponentList='Screen'/></Phase></Product></Products></Project>")
     for k in range(5):  # files that a reader would fail on
         (folder / f"unread{k}.ifp").write_bytes(b"<Rule eid='S5'")
         (folder / f"unread{k}.ifp").chmod(0)
-    names, edges = trace.reachable(spark, root, ["Screen.ifp"], vocabulary({}), Semantics({}), {})
-    assert names == ["Api.ifp", "Screen.ifp"] and edges == [("Api.ifp", "Screen.ifp")]
+    look = lambda **o: trace.reachable(trace._Folder(spark, root), ["Screen.ifp"], vocabulary({}), Semantics({}), {}, **o)
+    for most in (trace.DRIVER_BYTES, 0):  # read by the driver, and by a job
+        monkeypatch.setattr(trace, "DRIVER_BYTES", most)
+        assert look() == (["Api.ifp", "Screen.ifp"], [("Api.ifp", "Screen.ifp")])
     _, e = run(spark, root, field="Desk.Title")
     assert sorted(e["files"]) == ["Api.ifp", "Screen.ifp"]
     got = trace.trace_targets(spark, root, spark.createDataFrame([(1, "odd [name].ifp", None, "OD", None, None)], trace.TARGET))
     assert sorted(json.loads(got.first()["evidence"])["files"]) == ["Api.ifp", "Screen.ifp", "odd [name].ifp"]
-    assert trace.reachable(spark, root, ["Screen.ifp"], vocabulary({}), Semantics({}), {}, most=1) is None
+    assert look(most=1) is None
     gone = trace.trace_targets(spark, root, spark.createDataFrame([(1, "none.ifp", None, "X", None, None)], trace.TARGET))
     assert "FILE_ERROR" in gone.first()["evidence"]
 
