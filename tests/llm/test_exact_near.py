@@ -164,3 +164,10 @@ def test_embeddings_against_brute_force(spark):
             else:
                 assert (r["n_links"], r["component_id"]) == (0, None)
     assert near_vectors(spark, df.limit(0)).count() == 0
+
+
+def test_embeddings_ignore_other_columns(spark):
+    _, df = vectors(spark)
+    show = lambda d: sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in near_vectors(spark, d).collect())
+    clash = df.selectExpr("vec_id", "embedding", "'a' AS rep", "1 AS members", "array(1) AS filters", "2 AS filter", "3 AS b", "4 AS o", "5 AS x", "6 AS k", "7 AS n", "true AS kept", "8 AS root", "9 AS component_id")
+    assert show(clash) == show(df)

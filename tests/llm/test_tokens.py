@@ -228,6 +228,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_archives(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_of_long_pages_and_clashing_columns(spark, tmp_path):
+    long = "é0123456789" * 300_000
+    rows = [(1, "u", long), (2, "u", long + "x"), (3, None, long)]
+    df = spark.createDataFrame([(*r, "s", 5, b"m", 7, "o", "r") for r in rows], "page_id long, url string, html string, sha string, size int, member binary, _salt int, owner string, page string")
+    kept = warc.write_archives(df, f"file://{tmp_path}/a", file_bytes=1000).collect()
+    got = {r["page_id"]: r for r in warc.read_archives(spark.createDataFrame(kept, "path string, records long, bytes long")).collect()}
+    assert {k: (r["record_type"], r["refers_to"], r["payload_bytes"]) for k, r in got.items()} == {1: ("revisit", 3, len(long.encode())), 2: ("response", None, len(long.encode()) + 1), 3: ("response", None, len(long.encode()))}
+    assert got[1]["payload_digest"] == warc.base32_sha1(long.encode()) != got[2]["payload_digest"]
+
+
 def test_warc_reader_checks():
     import io
 
