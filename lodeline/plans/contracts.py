@@ -189,6 +189,8 @@ def callers(tags: DataFrame, references: tuple[str, ...], vocabulary: Vocabulary
         "UNCLASSIFIED_REFERENCE": ("UNCLASSIFIED_REFERENCE_RULE", "A rule holds the reference, but neither its class nor a selector is known.", _evidence(reference=F.col("_hit"))),
     }
     problems = unreadable(tags).unionByName(attribute_problems(found)).unionByName(other)
+    lost = tags.where("note = 'LOOSE'").select(*_diagnostic("WARNING", "MALFORMED_REFERENCE_CONTEXT", "A reference was found, but no start tag that holds it.", offset=F.col("offset")))
+    problems = problems.unionByName(lost)
     if dynamic:
         problems = problems.unionByName(loose)
     for k, (code, message, evidence) in told.items():

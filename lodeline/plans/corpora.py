@@ -207,7 +207,7 @@ _CALL = """'<Rule Name="' || c_name || '" eid="C' || CAST(c_custkey AS VARCHAR(2
 
 
 def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, content): the integrator and a file of callers per nation."""
+    """(file, content): the integrator, a file of callers per nation, and one with a reference that no tag holds."""
     join = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda r: r[c]), "")
     ops = _table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.expr(_OPERATION).alias("x")).groupBy("s_nationkey").agg(join("x", "s_suppkey").alias("rules"))
     products = ops.join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -220,7 +220,8 @@ def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = body.crossJoin(sources).select(F.lit("lib/Hub.ifp").alias("file"), F.concat(F.lit("<Project><Products>"), "products", F.lit("</Products>"), "sources", F.lit("</Project></Phase>")).alias("text"))
     calls = _table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.expr(_CALL).alias("x")).groupBy("c_nationkey").agg(join("x", "c_custkey").alias("rules"))
     callers = calls.select(F.concat(F.lit("c/N"), "c_nationkey", F.lit(".IFP")).alias("file"), F.concat(F.lit("<Project><Rules>"), "rules", F.lit('</Rules><Button Text="lib/Hub.ifp"/></Project>')).alias("text"))
-    return one.unionByName(callers).select("file", F.encode("text", "utf-8").alias("content"))
+    stray = spark.createDataFrame([("c/Stray.ifp", "see lib/Hub.ifp <Phase/>")], "file string, text string")
+    return one.unionByName(callers).unionByName(stray).select("file", F.encode("text", "utf-8").alias("content"))
 
 
 # -- the screen corpus --------------------------------------------------------------------------------------------------
@@ -646,13 +647,14 @@ SELECT 'WARNING' AS severity, 'AMBIGUOUS_OPERATION_TARGET' AS code, file AS file
 UNION ALL SELECT 'WARNING', CASE m WHEN 1 THEN 'UNKNOWN_CALL_RULE_CLASS' ELSE 'UNCLASSIFIED_REFERENCE_RULE' END, file, count(*) FROM x WHERE m IN (1, 3) GROUP BY m, file
 UNION ALL SELECT 'NOTICE', 'REFERENCE_ON_NON_RULE_TAG', file, 1 FROM x GROUP BY file
 UNION ALL SELECT 'WARNING', 'UNKNOWN_API_RULE_CLASS', 'lib/Hub.ifp', count(*) FROM o WHERE m IN (2, 3) HAVING count(*) > 0
-UNION ALL SELECT 'WARNING', 'UNBALANCED_XML_STRUCTURE', 'lib/Hub.ifp', 1""",
+UNION ALL SELECT 'WARNING', 'UNBALANCED_XML_STRUCTURE', 'lib/Hub.ifp', 1
+UNION ALL SELECT 'WARNING', 'MALFORMED_REFERENCE_CONTEXT', 'c/Stray.ifp', 1""",
     "contract_summary": _OPS + """
 SELECT * FROM (VALUES ('data_sources', (SELECT count(*) FROM region)::VARCHAR), ('odata_operations', (SELECT count(*) FROM op)::VARCHAR), ('integrator_mappings', (SELECT count(DISTINCT n_nationkey) FROM o)::VARCHAR),
   ('rule_class_census', (SELECT count(DISTINCT m) FROM o)::VARCHAR), ('caller_references', (SELECT count(*) FROM c)::VARCHAR), ('referencing_files', (SELECT count(DISTINCT file) FROM c)::VARCHAR),
   ('caller_operation_links', (SELECT count(*) FROM link)::VARCHAR), ('files_failed', '0'), ('status', 'complete_with_diagnostics')) v(name, value)""",
     "contract_refresh": """
-WITH f AS (SELECT DISTINCT 'c/N' || c_nationkey || '.IFP' AS file, c_nationkey % 3 AS m FROM customer UNION ALL SELECT 'lib/Hub.ifp', 2)
+WITH f AS (SELECT DISTINCT 'c/N' || c_nationkey || '.IFP' AS file, c_nationkey % 3 AS m FROM customer UNION ALL SELECT 'lib/Hub.ifp', 2 UNION ALL SELECT 'c/Stray.ifp', 2)
 SELECT file, CASE m WHEN 0 THEN 'CHANGED' WHEN 1 THEN 'VANISHED' ELSE 'CACHED' END AS status FROM f""",
     "trace_anchors": _SLICE + """
 SELECT s.user_id, 'n' || s.s // 2 AS seed, CASE WHEN coalesce(o.n, 0) > 0 OR coalesce(i.n, 0) > 0 THEN 'blocked' WHEN coalesce(g.loose, false) THEN 'conditional' ELSE 'static_candidate' END AS status, coalesce(g.loose, false) AS conditional_path, c.n + 1 AS dependency_event_count

@@ -148,7 +148,7 @@ def tags(contents: DataFrame, *, names: tuple[str, ...] | None = None, vocabular
     With a vocabulary only attributes that contracts keep are read. only_hits keeps start tags that hold a reference.
     Files are read in order anyway, so what encloses a tag is known as it is read: its parent among structural tags, the
     innermost Product and Phase, and whether it or a Rule around it is disabled. `note` tells of end tags that close
-    nothing, and a last row per file of Products and Phases left open.
+    nothing, of references that no tag can hold, and in a last row per file of Products and Phases left open.
     """
     wanted = vocabulary.keeps if vocabulary is not None else (lambda _: True)
 
@@ -162,6 +162,8 @@ def tags(contents: DataFrame, *, names: tuple[str, ...] | None = None, vocabular
                 bag_ = [{"name": n, "folded": n.casefold(), "value": v} for n, v in t.attributes]
                 cut = [{"name": n, "observed_bytes": b} for n, b in t.truncated]
                 yield file, k, t.name, t.start, t.end, t.line, t.is_end, t.self_closing, bag_, cut, sorted(set(t.duplicates)), t.hits, t.error, *place
+            for at, reference in lexer.loose(content, references, ignore_case) if references else ():
+                yield file, -3, None, at, at, 1, False, False, [], [], [], [reference], None, None, 0, None, None, None, False, "LOOSE"
             if note := inside.left_open():
                 yield file, -2, None, 0, 0, 0, False, False, [], [], [], [], None, None, 0, None, None, None, False, note
         except (lexer.FileError, UnicodeError) as e:

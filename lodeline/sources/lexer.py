@@ -166,6 +166,20 @@ def tags(
         at = m.end() if tag.error and not closed else end
 
 
+def loose(content: bytes, references: tuple[str, ...], ignore_case: bool = False) -> list[tuple[int, str]]:
+    """(byte offset, reference) of references that stand before any tag, where none can hold them."""
+    enc = detect(content)
+    units = enc.units(content)
+    head = units.partition("<")[0]
+    low = (lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)) if ignore_case else (lambda s: s)
+    head, out, at = low(head), [], 0
+    sought = [(low(enc.code(r)), r) for r in references]
+    while found := min(((p, -len(u), r) for u, r in sought if (p := head.find(u, at)) >= 0), default=None):
+        out.append((found[0] * enc.unit, found[2]))
+        at = found[0] - found[1]
+    return out
+
+
 def _read(units, at, end, enc, tag, wanted, sought, low, most_value) -> None:
     seen: set[str] = set()
     while not _CLOSE.fullmatch(units, at, end):
