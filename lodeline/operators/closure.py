@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MOST_ROUNDS = 5000
 #: Edges up to which a graph is sent to every task, which then walks it from its own seeds.
 SENT_EDGES = 250_000
+#: Pairs that a walk gives at a time, at least.
+ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,15 +43,23 @@ def _walk(sent):
     """Seeds of a partition to the pairs (seed, node) they reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back = sent.value
         for pdf in batches:
+            seeds, nodes = [], []
             for seed in pdf["seed"].tolist():
                 done, todo = {seed}, [seed]
                 while todo:
-                    for n in sent.value.get(todo.pop(), ()):
+                    for n in back.get(todo.pop(), ()):
                         if n not in done:
                             done.add(n)
                             todo.append(n)
-                yield pd.DataFrame({"seed": [seed] * len(done), "node": list(done)})
+                seeds += [seed] * len(done)
+                nodes += done
+                if len(nodes) >= ROWS:
+                    yield pd.DataFrame({"seed": seeds, "node": nodes})
+                    seeds, nodes = [], []
+            if nodes:
+                yield pd.DataFrame({"seed": seeds, "node": nodes})
 
     return run
 
