@@ -34,6 +34,33 @@ def test_references():
     assert R.shape("Data Store Root.A[1].B[C].") == "A.B"
 
 
+@pytest.mark.parametrize("text,fields", [("$$a$$b$", ["a"]), ("$$a$$b$$", ["b", "a$$b$"]), ("$$$a$", ["a"]), ("$$$$a$$", ["a", "$$a$"]), ("$$$", []), ("$$a\nb$ $$c$", ["c"]), ("$$ a.b.up() $", ["a.b"]), ("$$a(1).b$", ["a(1).b"]), ("$$a.1(x).c(y)$", ["a.1(x)"]), ("", [])])
+def test_reference_ends(text, fields):
+    assert R.field_references(text) == fields
+
+
+@pytest.mark.parametrize("text,fields", [("a.b", ["a.b"]), ("a", []), ("!a.b[$x].c", ["!a.b[$x].c"]), ("9a.b", ["a.b"]), ("a.b[", ["a.b"]), ("a.b[]", ["a.b"]), ("a[1.2.b", []), ("x.y.z (1)", ["x.y"]), ("x.f(1)", ["x"]), ("'a.b' \"c.d\" e.f", ["e.f"]), ("it's a.b", ["a.b"]), ("a.b.1", ["a.b"])])
+def test_bare_paths(text, fields):
+    assert R.condition_references(text) == fields
+
+
+def test_declared_attributes():
+    from lodeline.functions.partial import declared
+
+    got = declared("AddToListRule", {"ListType": " Static ", "StaticListToAddTo": "L", "KeyType": "data item", "KeyPropertyName": " A.k ", "ValueType": "Value", "Value": "$$A.v$ $$A.k$", "GroupValueType": "Other", "ErrorCodeDataItem": "E.c", "ErrorMsgDataItem": "E.c"})
+    assert got["reads"] == ["A.k", "A.v"] and got["writes"] == ["E.c"]
+    assert got["evidence"] == {
+        "rule_class": "AddToListRule", "list_target_is_datastore_write": False, "list_target": {"type": "static", "name": "L"}, "key_source": {"mode": "Data Item", "path": "A.k"},
+        "value_source": {"mode": "Value", "template": "$$A.v$ $$A.k$", "template_dependencies": ["A.v", "A.k"]}, "error_outputs": ["E.c"],
+    }
+    assert declared("AddToListRule", {"ListType": "x"})["evidence"]["list_target"] == {"type": "unknown", "name": None}
+    got = declared("CompareMultiListValuesRule", {"CurrentListValue": " A.c ", "ProcessEmpty": "Y"})
+    assert got["reads"] == ["A.c"] and not got["writes"] and got["evidence"]["process_empty"] == "Y" and got["evidence"]["new_list_values"] is None
+    got = declared("SetQuestionStatus", {"Question": "a, ,b", "ReadOnly": "", "Other": "1"})
+    assert got["evidence"]["ui_targets"] == ["a", "b"] and got["evidence"]["status_flags"] == {"ReadOnly": ""} and not got["reads"]
+    assert declared("SetValueRule", {}) is None
+
+
 @pytest.mark.parametrize("a,b,yes", [("A.B", "A.B", True), ("A[1].B", "A[2].B", False), ("A[1].B", "A[C].B", True), ("A", "A.B", False), ("A.B", "A.Bc", False)])
 def test_overlap(a, b, yes):
     f = lambda p, g=False: R.field("s", p, g)
