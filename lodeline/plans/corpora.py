@@ -213,11 +213,12 @@ def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = ops.join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     attributes = F.concat(F.lit('" In_ExportedProperty="N.In" In_PropertyKey="k'), "n_nationkey", F.lit('" In_PubIn="Y"><Phase Name="Go">'))
     product = F.concat(F.lit('<Product Name="'), "n_name", F.lit('" eid="N'), "n_nationkey", attributes, "rules", F.lit("</Phase></Product>"))
-    body = products.select("n_nationkey", product.alias("x")).agg(join("x", "n_nationkey").alias("products"))
     source = F.concat(F.lit('<DataSource Name="Region '), "r_regionkey", F.lit('" ClassType="a.ODataSource" ServiceRootUri="https://'), F.lower("r_name"), F.lit('.test/"/>'))
-    sources = _table(spark, sf_dir, "region").select("r_regionkey", source.alias("x")).agg(join("x", "r_regionkey").alias("sources"))
-    # One row each: the integrator is one file.
-    one = body.crossJoin(sources).select(F.lit("lib/Hub.ifp").alias("file"), F.concat(F.lit("<Project><Products>"), "products", F.lit("</Products>"), "sources", F.lit("</Project></Phase>")).alias("text"))
+    parts = products.select(F.lit("p").alias("k"), F.col("n_nationkey").alias("at"), product.alias("x")).unionByName(_table(spark, sf_dir, "region").select(F.lit("s").alias("k"), F.col("r_regionkey").alias("at"), source.alias("x")))
+    in_order = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("at", "x")))), lambda r: r["x"]), "")
+    # The integrator is one file.
+    one = parts.agg(in_order("p").alias("products"), in_order("s").alias("sources"))
+    one = one.select(F.lit("lib/Hub.ifp").alias("file"), F.concat(F.lit("<Project><Products>"), "products", F.lit("</Products>"), "sources", F.lit("</Project></Phase>")).alias("text"))
     calls = _table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.expr(_CALL).alias("x")).groupBy("c_nationkey").agg(join("x", "c_custkey").alias("rules"))
     callers = calls.select(F.concat(F.lit("c/N"), "c_nationkey", F.lit(".IFP")).alias("file"), F.concat(F.lit("<Project><Rules>"), "rules", F.lit('</Rules><Button Text="lib/Hub.ifp"/></Project>')).alias("text"))
     stray = spark.createDataFrame([("c/Stray.ifp", "see lib/Hub.ifp <Phase/>")], "file string, text string")
