@@ -151,10 +151,10 @@ class TokenRollup:
 
     def _latest(self, changes: DataFrame) -> DataFrame:
         """A row per document and tokenizer, and a row each of those without a doc_id."""
-        rows = counted(changes, self.tokenizers)
+        # Rows without a doc_id are told apart by their place, so that texts are counted in one pass.
+        rows = counted(changes, self.tokenizers).withColumn("own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
         rank = F.struct(F.when(F.col("op") == "delete", 0).otherwise(1).alias("live"), "source", "lang", "tokens")
-        known = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "tokenizer").agg(F.max(rank).alias("r"))
-        return known.unionByName(rows.where("doc_id IS NULL").select("doc_id", "tokenizer", rank.alias("r")))
+        return rows.groupBy("doc_id", "own", "tokenizer").agg(F.max(rank).alias("r")).drop("own")
 
     def _signed(self, new: DataFrame, log: list[dict]) -> DataFrame:
         plus = new.where("r.live = 1").select("doc_id", "r.source", "r.lang", "tokenizer", F.lit(1).cast("long").alias("docs"), "r.tokens")
