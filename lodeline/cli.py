@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import time
+from contextlib import nullcontext
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -85,8 +86,14 @@ def _report(spark, args) -> int:
 
     store = Store(spark, args.store)
     made = Contracts({n: store.table(n) for n in store.names()}, store.metadata())
-    text = report.contracts_json(made) if args.format == "json" else report.contracts_markdown(made)
-    Path(args.output).write_text(text, encoding="utf-8") if args.output else print(text)
+    with open(args.output, "w", encoding="utf-8") if args.output else nullcontext(sys.stdout) as out:
+        if args.format == "json":
+            out.write(report.contracts_json(made))
+        else:
+            for k, line in enumerate(report.contract_lines(made)):
+                out.write("\n" * (k > 0) + line)
+        if not args.output:
+            out.write("\n")
     return 0
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -437,9 +439,9 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the contract report over the hub corpus: sections, callers, operations and mappings, in order."""
-    text_ = report.contracts_markdown(_contracts(spark, sf_dir)).split("\n")
-    rows = [(k, x) for k, x in enumerate(x for x in text_ if x.startswith(("## ", "- operation: E", "- mapping: Id", "- class: ")))]
-    return spark.createDataFrame(rows, "place int, line string")
+    wanted = lambda x: reduce(or_, (F.startswith(x, F.lit(p)) for p in ("## ", "- operation: E", "- mapping: Id", "- class: ")))
+    blocks = report.contract_blocks(_contracts(spark, sf_dir))
+    return report.numbered(blocks.withColumn("lines", F.filter("lines", wanted))).select(F.col("place").cast("int").alias("place"), "line")
 
 
 def _contracts(spark: SparkSession, sf_dir: str) -> contracts.Contracts:

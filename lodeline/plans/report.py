@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict, deque
+from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions import text
-from lodeline.operators import rollup
+from lodeline.operators import closure, rollup
 
 ORDER = {
     "odata_operations": ["tag_offset"], "data_sources": ["source_name", "tag_offset"], "integrator_mappings": ["product_name", "mapping_prefix"],
@@ -26,29 +32,101 @@ def _table(names: list[str], rows) -> list[str]:
     return ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *("| " + " | ".join(_cell(v) for v in r) + " |" for r in rows), ""]
 
 
-def contracts_markdown(made) -> str:
-    """A Markdown report; operations and callers in order of their place, diagnostics by severity."""
-    ops = made.odata_operations.withColumn("request", F.concat_ws(" ", "action", text.joined_path(F.col("base_url"), F.col("api_path")))).orderBy("tag_offset")
-    lines = ["# Integrator contract", ""]
-    lines += [f"- {k}: `{_cell(made.metadata.get(k))}`" for k in ("integrator_file", "reference")] + ["", "## API requests", ""]
+#: Order of a report's blocks; sections first, then what a section is ordered by.
+_PLACE = ["section", "rank", "name", "more", "at"]
+
+
+def _escaped(c: Column) -> Column:
+    """The same as _cell, as a column."""
+    return F.translate(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\r\n`", "  '")
+
+
+def _block(rows: DataFrame, section: int, lines: Column, *, rank: Column | None = None, name: str | None = None, more: str | None = None, at: str | None = None) -> DataFrame:
+    key = lambda c, kind: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast(kind)
+    return rows.select(F.lit(section).alias("section"), key(rank, "long").alias("rank"), key(name, "string").alias("name"), key(more, "string").alias("more"), key(at, "long").alias("at"), lines.alias("lines"))
+
+
+def _row(*cells: Column) -> Column:
+    return F.array(F.concat(F.lit("| "), F.concat_ws(" | ", *map(_escaped, cells)), F.lit(" |")))
+
+
+def contract_blocks(made) -> DataFrame:
+    """The report of a contract as rows (section, rank, name, more, at, lines): headings, table rows and callers, each with
+    its lines. Operations and callers are in order of their place, diagnostics by severity."""
+    spark = made.odata_operations.sparkSession
+    ops = made.odata_operations.withColumn("request", F.concat_ws(" ", "action", text.joined_path(F.col("base_url"), F.col("api_path"))))
     cols = ["rule_name", "rule_class", "product_name", "phase_name", "classification", "disabled", "source_name", "request", "filter_expr", "request_group", "results_group", "output_group"]
-    rows = ops.select(*cols).collect()
-    lines += _table(cols, rows) if rows else ["No API rule was recognized.", ""]
-    lines += ["## Data sources", "", *_table(["source_name", "class_type", "base_url"], made.data_sources.orderBy(*ORDER["data_sources"]).select("source_name", "class_type", "base_url").toLocalIterator())]
-    lines += ["## Product mappings", "", *_table(["product_name", "mapping_prefix", "exported_property", "property_key", "direction"], made.integrator_mappings.orderBy(*ORDER["integrator_mappings"]).select("product_name", "mapping_prefix", "exported_property", "property_key", "direction").toLocalIterator())]
-    lines += ["## Callers", ""]
+    sources, maps_of = ["source_name", "class_type", "base_url"], ["product_name", "mapping_prefix", "exported_property", "property_key", "direction"]
+    told, counted = {"severity": "severity", "code": "code", "file": "file_path", "offset": "tag_offset", "message": "message"}, {"class": "rule_class", "count": "occurrence_count"}
+    head = lambda names: _table(list(names), [])[:-1]
+    first = ["# Integrator contract", "", *(f"- {k}: `{_cell(made.metadata.get(k))}`" for k in ("integrator_file", "reference")), "", "## API requests", ""]
+    heads = [
+        (0, [*first, *(["No API rule was recognized."] if ops.isEmpty() else head(cols))]), (2, ["", "## Data sources", "", *head(sources)]), (4, ["", "## Product mappings", "", *head(maps_of)]),
+        (6, ["", "## Callers", ""]), (8, ["## Diagnostics", "", *head(told)]), (10, ["", "## Rule classes", "", *head(counted)]), (12, [""]),
+    ]
     named = made.odata_operations.select(F.struct("integrator_file", "tag_offset").alias("operation"), F.col("rule_name").alias("calls"))
     # Links and mappings of a caller come to it as sorted lists.
     links = made.caller_operation_links.join(named, "operation").groupBy("reference").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "resolution_status", "calls"))).alias("calls"))
     maps = made.caller_mappings.groupBy(F.struct("caller_file", "tag_offset").alias("reference")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "mapping_prefix", "direction", "solution_data_item", F.lit("<->"), "property_key"))).alias("maps"))
-    callers = made.caller_references.withColumn("reference", F.struct("caller_file", "tag_offset")).join(links, "reference", "left").join(maps, "reference", "left").orderBy(*ORDER["caller_references"])
-    for c in callers.toLocalIterator():
-        lines += [f"### {_cell(c['rule_name']) or _cell(c['rule_eid']) or 'Unnamed rule'}", "", f"- file: `{_cell(c['caller_file'])}` at byte {c['tag_offset']}", f"- class: `{_cell(c['rule_class'])}`, {c['classification']}, disabled: {'yes' if c['disabled'] else 'no'}", f"- selector: `{_cell(c['selector'])}`"]
-        lines += [f"- operation: {_cell(x)}" for x in c["calls"] or ["unresolved"]] + [f"- mapping: {_cell(x)}" for x in c["maps"] or []] + [""]
-    rank = rollup.ranked(F.col("severity"), ["ERROR", "WARNING"])
-    lines += ["## Diagnostics", "", *_table(["severity", "code", "file", "offset", "message"], made.diagnostics.orderBy(rank, "file_path", "tag_offset").select("severity", "code", "file_path", "tag_offset", "message").toLocalIterator())]
-    lines += ["## Rule classes", "", *_table(["class", "count"], made.rule_class_census.orderBy(F.desc("occurrence_count"), "rule_class").select("rule_class", "occurrence_count").toLocalIterator())]
-    return "\n".join(lines)
+    callers = made.caller_references.withColumn("reference", F.struct("caller_file", "tag_offset")).join(links, "reference", "left").join(maps, "reference", "left")
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    title = F.coalesce(*(F.when(_escaped(F.col(c)) != "", _escaped(F.col(c))) for c in ("rule_name", "rule_eid")), F.lit("Unnamed rule"))
+    own = F.array(
+        said("### ", title), F.lit(""), said("- file: `", _escaped(F.col("caller_file")), "` at byte ", F.col("tag_offset").cast("string")),
+        said("- class: `", _escaped(F.col("rule_class")), "`, ", F.col("classification"), ", disabled: ", F.when(F.col("disabled"), "yes").otherwise("no")), said("- selector: `", _escaped(F.col("selector")), "`"),
+    )
+    listed = lambda kind, c: F.transform(c, lambda x: said(f"- {kind}: ", _escaped(x)))
+    calls, mapped = F.coalesce("calls", F.array(F.lit("unresolved"))), F.coalesce("maps", F.array().cast("array<string>"))
+    severity = rollup.ranked(F.col("severity"), ["ERROR", "WARNING"])
+    blocks = [
+        spark.createDataFrame(heads, "section int, lines array<string>").transform(lambda d: d.select("section", *(F.lit(None).cast(t).alias(c) for c, t in zip(_PLACE[1:], ("long", "string", "string", "long"))), "lines")),
+        _block(ops, 1, _row(*(F.initcap(F.col(c).cast("string")) if c == "disabled" else F.col(c) for c in cols)), at="tag_offset"),
+        _block(made.data_sources, 3, _row(*map(F.col, sources)), name="source_name", at="tag_offset"),
+        _block(made.integrator_mappings, 5, _row(*map(F.col, maps_of)), name="product_name", more="mapping_prefix"),
+        _block(callers, 7, F.concat(own, listed("operation", calls), listed("mapping", mapped), F.array(F.lit(""))), name="caller_file", at="tag_offset"),
+        _block(made.diagnostics, 9, _row(*map(F.col, told.values())), rank=severity, name="file_path", at="tag_offset"),
+        _block(made.rule_class_census, 11, _row(*map(F.col, counted.values())), rank=-F.col("occurrence_count"), name="rule_class"),
+    ]
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a sorted partition with the partition's number and how many of its lines stand before them."""
+    part, before = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = pc.list_value_length(b["lines"]).to_numpy(zero_copy_only=False).astype("int64")
+        upto = before + n.cumsum()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(upto - n, pa.int64()), b["lines"]], names=["part", "first", "lines"])
+        before = int(upto[-1]) if len(n) else before
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """(place, line) of all lines in the order of their blocks, from 0. Blocks are sorted in ranges and lines counted per
+    range; of each range one number comes to the driver, and no line does."""
+    spark = blocks.sparkSession
+    # Kept, since finding the ranges reads the blocks once more.
+    blocks = closure.kept(blocks, "blocks")
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    in_order = blocks.repartitionByRange(width, *_PLACE).sortWithinPartitions(*_PLACE, "lines").select("lines")
+    parts = closure.kept(in_order.mapInArrow(_counted, "part int, first long, lines array<string>"), "lines")
+    sizes = dict(parts.groupBy("part").agg(F.sum(F.size("lines")).alias("n")).collect())
+    starts, at = [], 0
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    base = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
+    rows = parts.join(base, "part").select((F.col("base") + F.col("first")).alias("start"), F.posexplode("lines").alias("k", "line"))
+    return rows.select((F.col("start") + F.col("k")).alias("place"), "line")
+
+
+def contract_lines(made) -> Iterator[str]:
+    """The lines of the Markdown report, some at a time."""
+    return (r["line"] for r in numbered(contract_blocks(made)).orderBy("place").toLocalIterator())
+
+
+def contracts_markdown(made) -> str:
+    """A Markdown report; operations and callers in order of their place, diagnostics by severity."""
+    return "\n".join(contract_lines(made))
 
 
 def contracts_json(made) -> str:

@@ -48,6 +48,32 @@ def test_store_and_report(spark, made, tmp_path):
     assert store.metadata()["scan_status"] == "complete_with_diagnostics"
 
 
+def test_report_lines_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lodeline.plans import corpora
+
+    taken = DataFrame.collect
+
+    def few(self):
+        rows = taken(self)
+        assert len(rows) <= 100
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", few)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    got = corpora.report_lines(spark, "/root/testdata/sf0.001")
+    assert got.count() > 200 and got.agg({"place": "max"}).first()[0] == got.count() - 1
+
+
+def test_report_is_numbered_across_ranges(spark):
+    kind = "section int, rank long, name string, more string, at long, lines array<string>"
+    blocks = [(7, None, f"f{k % 7}", None, k, [f"f{k % 7} {k:03d} {i}" for i in range(k % 4)]) for k in range(200)]
+    blocks += [(0, None, None, None, None, ["head", "x|y"]), (12, None, None, None, None, [""])]
+    got = [tuple(r) for r in report.numbered(spark.createDataFrame(blocks[::-1], kind)).orderBy("place").collect()]
+    assert got == list(enumerate(["head", "x|y", *sorted(x for b in blocks[:200] for x in b[5]), ""]))
+
+
 def test_config_extends_and_rejects():
     v = vocabulary({"api_rule_classes": ["x.HouseApi"], "attribute_aliases": {"path": ["Weg"]}, "api_rule_attribute_overrides": {"HouseApi": {"path": ["Pfad"]}}, "method_by_rule_class": {"x.HouseApi": "put"}})
     assert v.api_match("y.houseapi") == {"match": "suffix", "key": "houseapi"} and v.names("path", "HouseApi")[0] == "Pfad" and v.names("path")[-1] == "Weg"
