@@ -247,10 +247,13 @@ def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(spark.createDataFrame([("lib/Api.ifp", bytearray(_API.encode()))], "file string, content binary"))
 
 
-def _screen_evidence(spark: SparkSession, sf_dir: str, scenario: str | None = None) -> DataFrame:
+def _screen_targets(spark: SparkSession, sf_dir: str, scenario: str | None = None) -> DataFrame:
     null = F.lit(None).cast("string")
-    targets = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), F.concat(F.lit("c/S"), "c_custkey", F.lit(".ifp")).alias("file"), F.lit("Desk.Title").alias("field"), null.alias("rule_eid"), F.lit("Screen.Main").alias("entry"), F.lit(scenario).cast("string").alias("scenario"))
-    return closure.kept(trace.trace_targets(spark, screens(spark, sf_dir), targets), "evidence")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), F.concat(F.lit("c/S"), "c_custkey", F.lit(".ifp")).alias("file"), F.lit("Desk.Title").alias("field"), null.alias("rule_eid"), F.lit("Screen.Main").alias("entry"), F.lit(scenario).cast("string").alias("scenario"))
+
+
+def _screen_evidence(spark: SparkSession, sf_dir: str, scenario: str | None = None) -> DataFrame:
+    return closure.kept(trace.trace_targets(spark, screens(spark, sf_dir), _screen_targets(spark, sf_dir, scenario)), "evidence")
 
 
 _ASSUMED = '{"name": "builders", "assumptions": [{"field": "Desk.Seg", "value": "BUILDING"}]}'
@@ -276,12 +279,14 @@ def screen_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def screen_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests under a scenario in three values, and where each fact comes from."""
     got = F.from_json("evidence", "struct<scenario: struct<conditions: array<struct<result: string, reason: string, facts: array<struct<field: string, value: string, status: string, basis: struct<reason: string>>>>>>>")
-    out = None
-    for name, spec in (("builders", _ASSUMED), ("nothing", '{"name": "nothing"}')):
-        rows = _screen_evidence(spark, sf_dir, spec).select(F.col("target_id").alias("c_custkey"), F.lit(name).alias("scenario"), F.explode(got["scenario"]["conditions"]).alias("c"))
-        rows = rows.select("c_custkey", "scenario", "c.result", "c.reason", F.array_join(F.transform("c.facts", lambda f: F.concat_ws("=", f["field"], F.coalesce(f["value"], F.lit("?")), f["basis"]["reason"])), "; ").alias("facts"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    names = {0: "builders", 1: "nothing"}
+    targets = _screen_targets(spark, sf_dir).withColumn("scenario", F.explode(F.array(F.lit(_ASSUMED), F.lit('{"name": "nothing"}'))))
+    # An id is a customer and a scenario; evidence is read once here, so it is not kept.
+    targets = targets.withColumn("target_id", F.col("target_id").cast("long") * 2 + (F.col("scenario") != _ASSUMED).cast("int"))
+    name = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.pmod("target_id", F.lit(2)).cast("int"))
+    rows = trace.trace_targets(spark, screens(spark, sf_dir), targets, parts=("scenario",))
+    rows = rows.select(F.shiftright("target_id", 1).alias("c_custkey"), name.alias("scenario"), F.explode(got["scenario"]["conditions"]).alias("c"))
+    return rows.select("c_custkey", "scenario", "c.result", "c.reason", F.array_join(F.transform("c.facts", lambda f: F.concat_ws("=", f["field"], F.coalesce(f["value"], F.lit("?")), f["basis"]["reason"])), "; ").alias("facts"))
 
 
 def screen_api(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,27 @@ def test_report_is_numbered_across_ranges(spark):
     assert got == list(enumerate(["head", "x|y", *sorted(x for b in blocks[:200] for x in b[5]), ""]))
 
 
+def test_scenarios_share_an_expansion(spark):
+    from lodeline.plans import corpora
+
+    files = {"c/S.ifp": corpora._KINDS.replace("<Question", "<Quest").replace("<Button", "<Butt"), "lib/Api.ifp": corpora._API}
+    load = lambda f: files[f].encode() if f in files else None
+    specs = [None, {"name": "a", "assumptions": [{"field": "A.b", "value": "x"}]}, {"name": "b"}]
+    target = {"file": "c/S.ifp", "field": "A.sum", "entry": "K.P"}
+    voc, sem = vocabulary({}), Semantics({})
+    x, seeds = trace.expanded(load, target, voc, sem)
+    for spec in specs:
+        asked = target if spec is None else target | {"scenario": spec}
+        alone = trace.trace(load, asked, voc, sem)
+        assert trace.evidence(x, seeds, asked) == alone and not any("scenario" in e for e in x.events)
+        assert trace.evidence(x, seeds, asked, ("scenario", "issues")) == {k: alone[k] for k in ("scenario", "issues")}
+    rows = [(k, "c/S.ifp", "A.sum", None, "K.P", None if s is None else json.dumps(s)) for k, s in enumerate([*specs, {"nonsense": 1}])]
+    got = trace.trace_targets(spark, corpora._files(spark, files), spark.createDataFrame(rows, trace.TARGET), parts=("scenario",))
+    got = {r["target_id"]: json.loads(r["evidence"]) for r in got.collect()}
+    assert got[0] == {"scenario": None} and got[1]["scenario"]["specification"] == specs[1] and got[2]["scenario"]["specification"] == specs[2]
+    assert "Scenario supports" in got[3]["error"]
+
+
 def test_config_extends_and_rejects():
     v = vocabulary({"api_rule_classes": ["x.HouseApi"], "attribute_aliases": {"path": ["Weg"]}, "api_rule_attribute_overrides": {"HouseApi": {"path": ["Pfad"]}}, "method_by_rule_class": {"x.HouseApi": "put"}})
     assert v.api_match("y.houseapi") == {"match": "suffix", "key": "houseapi"} and v.names("path", "HouseApi")[0] == "Pfad" and v.names("path")[-1] == "Weg"
