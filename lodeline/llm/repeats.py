@@ -42,6 +42,8 @@ from lodeline.llm.shingles import mix
 SIZE, GRAM = 100, 32
 #: Between segments in a shard's text; no byte of UTF-8.
 FENCE = 255
+#: Bytes of an anchor's segments up to which it is sorted, and half of them a shard's bytes on average: a sort holds some
+#: 45 bytes a byte of text, and each core of an executor has one.
 SHARD_BYTES = 2 << 20
 
 
@@ -117,6 +119,7 @@ def _told_apart():
             else:
                 several = bool(many[0])
             last = (h[-1], g[-1], doc[-1], key[-1], start[-1])
+        release_memory()
 
     return run
 
@@ -133,6 +136,7 @@ def _cut(size: int):
                     h, start, n = w["h"], w["start"], w["n"]
                     out.append((h, doc, key, start, n, data[start : start + n - 1 + size]))
             yield pd.DataFrame(out, columns=["h", "doc", "key", "start", "n", "bytes"])
+        release_memory()
 
     return run
 
@@ -142,20 +146,18 @@ BATCH_WINDOWS = 100_000
 
 
 def _window_hashes(size: int):
-    """Documents with their segments of hot anchors to a hash and the place of each window."""
+    """Segments of hot anchors, with their bytes, to a hash and the place of each window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = {"w": object, "doc": "int64", "key": "int64", "start": "int64"}
         for pdf in batches:
             out = []
-            for doc, key, text, want in zip(pdf["doc_id"], pdf["key"], pdf["text"], pdf["want"]):
-                data = text.encode("utf-8", "surrogatepass")
-                for x in want:
-                    for k in range(x["start"], x["start"] + x["n"]):
-                        out.append((hashlib.blake2b(data[k : k + size], digest_size=16).digest(), doc, key, k))
-                        if len(out) == BATCH_WINDOWS:
-                            yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
-                            out = []
+            for doc, key, start, n, data in zip(pdf["doc"], pdf["key"], pdf["start"], pdf["n"], pdf["bytes"]):
+                for k in range(n):
+                    out.append((hashlib.blake2b(data[k : k + size], digest_size=16).digest(), doc, key, start + k))
+                    if len(out) == BATCH_WINDOWS:
+                        yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+                        out = []
             yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
         release_memory()
 
@@ -250,7 +252,7 @@ def _runs(size: int, spans) -> tuple[np.ndarray, np.ndarray]:
 def repeat_spans(spark: SparkSession, docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, memory: int = MEMORY, base: int = BASE, arrays: int = ARRAYS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, key, spans): the repeated windows of each document that has any, as (first window, windows).
 
-    memory, base, arrays: what a sort holds in memory, see induced.py; shard_bytes: bytes of a shard on average.
+    memory, base, arrays: what a sort holds in memory, see induced.py; shard_bytes: twice the bytes of a shard on average.
     """
     scratch = Scratch(spark, "repeats")
     width = shuffle_width(spark)
@@ -266,18 +268,20 @@ def repeat_spans(spark: SparkSession, docs: DataFrame, *, size: int = SIZE, gram
     hot = scratch.keep(hot, "hot")
     any_hot = not hot.isEmpty()
 
-    def with_wanted(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy(F.col("doc").alias("doc_id"), "key").agg(F.collect_list(F.struct("h", "start", "n")).alias("want"))
-        return rows.join(wanted, ["doc_id", "key"])
-
-    cut = with_wanted(need.join(F.broadcast(hot), "h", "left_anti") if any_hot else need).mapInPandas(_cut(size), "h long, doc long, key long, start long, n int, bytes binary")
-    shards = max(width, -(-total // shard_bytes))
+    # Texts are shuffled once for all wanted segments, hot ones too: where there are any, bytes go to a table that both
+    # ways read.
+    wanted = need.groupBy(F.col("doc").alias("doc_id"), "key").agg(F.collect_list(F.struct("h", "start", "n")).alias("want"))
+    cut = rows.join(wanted, ["doc_id", "key"]).mapInPandas(_cut(size), "h long, doc long, key long, start long, n int, bytes binary")
+    if any_hot:
+        cut = scratch.keep(cut, "cut")
+        hot_cut, cut = (cut.join(F.broadcast(hot), "h", how) for how in ("left_semi", "left_anti"))
+    shards = max(width, -(-2 * total // shard_bytes))
     dealt = cut.repartition(int(shards), "h").sortWithinPartitions("doc", "key", "start")
     part = dealt.mapInPandas(_sorted_shard(size, scratch.path("spill"), {"memory": memory, "base": base, "arrays": arrays}), "doc long, key long, start long, n int")
     part = scratch.keep(part, "part")
     spans = told.where("kind = 0").select("doc", "key", "start", "n").unionByName(part)
     if any_hot:
-        found = with_wanted(need.join(F.broadcast(hot), "h", "left_semi")).mapInPandas(_window_hashes(size), "w binary, doc long, key long, start long")
+        found = hot_cut.mapInPandas(_window_hashes(size), "w binary, doc long, key long, start long")
         found = scratch.keep(found, "windows").withColumn("at", F.struct("doc", "key", "start"))
         found = with_group(found, "w", "doc", [(F.min("at"), F.min, "first")])
         spans = spans.unionByName(found.where(F.col("at") != F.col("first")).select("doc", "key", "start", F.lit(1).alias("n")))
@@ -296,6 +300,7 @@ def _kept(size: int):
             got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
             got.insert(0, "doc_id", pdf["doc_id"].astype("Int64").values)
             yield got
+        release_memory()
 
     return run
 

@@ -201,3 +201,14 @@ def test_an_anchor_far_over_memory_is_not_gathered(spark, monkeypatch):
             seen.add(w)
         want.add((k, int(bool(gone)), len(gone)))
     assert got == want
+
+
+def test_hot_windows_come_from_cut_bytes():
+    import hashlib
+
+    import pandas as pd
+
+    cut = pd.DataFrame({"h": [9], "doc": [5], "key": [6], "start": [10], "n": [3], "bytes": [b"abcdef"]})
+    (got,) = repeats._window_hashes(4)(iter([cut]))
+    assert got["start"].tolist() == [10, 11, 12] and set(got["doc"]) == {5} and set(got["key"]) == {6}
+    assert got["w"].tolist() == [hashlib.blake2b(b"abcdef"[k : k + 4], digest_size=16).digest() for k in range(3)]
