@@ -204,5 +204,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str, *, one_task: int =
             break
     else:
         now = now.coalesce(1).mapInPandas(_stars, kind)
-    pairs = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return scratch.keep(pairs.union(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct(), f"{name}-out")
+    # Both ends of a row at once: a union would run the last union-find twice, by two workers of one task.
+    return scratch.keep(now.select(F.explode(F.array("b", "a")).alias("node"), F.col("a").alias("root")).distinct(), f"{name}-out")

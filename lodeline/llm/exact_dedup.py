@@ -50,7 +50,8 @@ class DigestIndex:
     def append(self, winners: DataFrame) -> None:
         """Add winners whose digest the index lacks; repeating a batch adds nothing."""
         if not self.exists():
-            self._write(self.spark.createDataFrame([], "digest binary, keep_id long, chars long"))
+            # Not createDataFrame, which starts Python workers of another kind on the executors.
+            self._write(winners.select("digest", "keep_id", "chars").where("false"))
         new = winners.select("digest", "keep_id", "chars").join(self.rows().hint(MERGE), "digest", "left_anti")
         self._write(new.repartition(self.buckets, "digest"))
 

@@ -208,7 +208,10 @@ def _confirmed(num: int, den: int):
 
 
 def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """Bits set at the hashed ids; its size is fixed before, whatever the number of ids."""
+    """Bits set at the hashed ids; its size is fixed before, whatever the number of ids.
+
+    A bitmap per task of a few, so the driver gets a few of the one fixed size, and a task has one worker.
+    """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = np.zeros(bits // 8, np.uint8)
@@ -217,17 +220,8 @@ def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
             np.bitwise_or.at(m, (h >> np.uint64(3)).astype(np.int64), np.left_shift(1, h & np.uint64(7)).astype(np.uint8))
         yield pd.DataFrame({"m": [m.tobytes()]})
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = np.zeros(bits // 8, np.uint8)
-        for pdf in batches:
-            for x in pdf["m"]:
-                m |= np.frombuffer(x, np.uint8)
-        yield pd.DataFrame({"m": [m.tobytes()]})
-
-    # Merged on executors, a bitmap per task, so the driver gets a few of the one fixed size.
-    parts = rows.coalesce(16).mapInPandas(mark, "m binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in parts.coalesce(4).mapInPandas(merge, "m binary").toLocalIterator():
+    for r in rows.coalesce(4).mapInPandas(mark, "m binary").toLocalIterator():
         out |= np.frombuffer(bytes(r["m"]), np.uint8)
     return out
 
@@ -288,8 +282,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 5, num
         if every:
             pairs = pairs.select("a", "b").distinct()
         else:
-            # Each class keeps its best candidate over all buckets.
-            ends = pairs.withColumn("me", F.col("a")).unionByName(pairs.withColumn("me", F.col("b")))
+            # Each class keeps its best candidate over all buckets. A union of both ends would look for the pairs twice.
+            ends = pairs.withColumn("me", F.explode(F.array("a", "b")))
             pairs = ends.groupBy("me").agg(F.max_by(F.struct("a", "b"), F.struct("w", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
         p = sets.select(F.col("doc").alias("a"), F.col("set").alias("p"))
         q = sets.select(F.col("doc").alias("b"), F.col("set").alias("q"))

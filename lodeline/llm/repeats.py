@@ -339,6 +339,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
             out.append(left.decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
+    # Else the condition below would have it run twice, by two workers side by side on each core.
+    rest = rest.asNondeterministic()
     joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("_repeats_id")) & (text_key() == F.col("_repeats_key")), "left")
     joined = joined.withColumn("_repeats_text", F.when(F.col("_repeats_spans").isNotNull(), rest(F.col("text"), F.col("_repeats_spans"))).otherwise(F.col("text")))
     joined = joined.where("_repeats_spans IS NULL OR length(_repeats_text) > 0")

@@ -74,6 +74,29 @@ def test_exact_runs_no_python(spark, plain):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_exact_starts_no_workers(spark, plain, unique, monkeypatch):
+    from pyspark.sql import SparkSession
+
+    plain.count()
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda *_, **__: (_ for _ in ()).throw(AssertionError("a PythonRDD")))
+    assert exact_dedup.exact_dedup(spark, plain).count() == len(unique)
+
+
+def test_near_has_one_worker_a_task(spark, plain, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans = {}
+    keep, local = Scratch.keep, DataFrame.toLocalIterator
+
+    def note(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
+
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (note(df, name), keep(self, df, name))[1])
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a, **k: (note(self, "bitmap"), local(self, *a, **k))[1])
+    minhash.near_duplicates(spark, plain).count()
+    assert plans["bitmap"] == plans["pairs0"] == plans["links0"] == plans["roots0-out"] == 1 and max(plans.values()) == 1, plans
+
+
 def test_shingles_are_words(corpus):
     texts = [t or "" for _, t in corpus]
     for k in (3, 5):

@@ -212,3 +212,8 @@ def test_hot_windows_come_from_cut_bytes():
     (got,) = repeats._window_hashes(4)(iter([cut]))
     assert got["start"].tolist() == [10, 11, 12] and set(got["doc"]) == {5} and set(got["key"]) == {6}
     assert got["w"].tolist() == [hashlib.blake2b(b"abcdef"[k : k + 4], digest_size=16).digest() for k in range(3)]
+
+
+def test_texts_without_repeats_are_cut_once(spark, docs):
+    plan = remove_repeats(spark, docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
