@@ -75,7 +75,10 @@ def linked(callers: DataFrame, caller: str, targets: str, operations: DataFrame,
     # A null op marks a name that no product has.
     named = asked.select("_caller", F.explode("_targets").alias("_key")).where("_key <> ''").join(ops.where("_key <> ''"), "_key")
     exact = named.select("_caller", "_op").distinct().withColumn("status", F.lit("EXACT_PRODUCT"))
-    rest = asked.join(exact.select("_caller").distinct(), "_caller", "left_anti")
+    # Who has a link is known from the products' names, without the pairs.
+    keys = ops.where("_key <> ''").select("_key").distinct()
+    met = asked.select("_caller", F.explode("_targets").alias("_key")).join(keys, "_key", "left_semi")
+    rest = asked.join(met.select("_caller").distinct(), "_caller", "left_anti")
     free = rest.where(F.size("_targets") == 0).select("_caller")
     code = "NO_API_OPERATION" if not totals["n"] else "AMBIGUOUS_OPERATION_TARGET"
     lost = rest.where(F.size("_targets") > 0).select("_caller")

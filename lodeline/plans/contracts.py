@@ -200,11 +200,15 @@ def callers(tags: DataFrame, references: tuple[str, ...], vocabulary: Vocabulary
     return {"caller_references": calls, "caller_mappings": maps, "diagnostics": problems, "referencing_files": files}
 
 
+def targets() -> Column:
+    """Names that a caller gives in its component list and its source."""
+    return F.array_distinct(F.concat(*(F.coalesce(resolve.name_targets(F.col(c)), F.array().cast("array<string>")) for c in ("component_list", "source_name"))))
+
+
 def links(calls: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, diagnostics): each caller with every operation of the products it names, or why there is none."""
     who = F.struct("caller_file", "tag_offset")
-    both = F.array_distinct(F.concat(F.coalesce(resolve.name_targets(F.col("component_list")), F.array().cast("array<string>")), F.coalesce(resolve.name_targets(F.col("source_name")), F.array().cast("array<string>"))))
-    asked = calls.select(who.alias("reference"), both.alias("targets"))
+    asked = calls.select(who.alias("reference"), targets().alias("targets"))
     ops = operations.select(F.struct("integrator_file", "tag_offset").alias("operation"), "product_name")
     out = resolve.linked(asked, "reference", "targets", ops, "operation", "product_name")
     made = out.where("operation IS NOT NULL").withColumnRenamed("status", "resolution_status")
@@ -215,6 +219,22 @@ def links(calls: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame
     return made, lost.select(*cols)
 
 
+def shared_links(calls: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, products) and (products, operation, resolution_status): the same links, once for callers with the same.
+
+    Callers that name the same products have the same operations, so a link is told per set of products and not per
+    caller. Names that no product has are left out; what names such alone is in neither table, and callers without any
+    name share the empty set.
+    """
+    named = calls.select(targets().alias("targets")).distinct()
+    keys = operations.select(F.lower("product_name").alias("_key")).where("_key <> ''").distinct()
+    known = named.select("targets", F.explode("targets").alias("_key")).join(keys, "_key").groupBy("targets").agg(F.array_sort(F.collect_set("_key")).alias("products"))
+    known = known.unionByName(named.where(F.size("targets") == 0).withColumn("products", F.col("targets")))
+    ops = operations.select(F.struct("integrator_file", "tag_offset").alias("operation"), "product_name")
+    made = resolve.linked(known.select("products").distinct(), "products", "products", ops, "operation", "product_name")
+    return known, made.where("operation IS NOT NULL").withColumnRenamed("status", "resolution_status")
+
+
 def build(spark: SparkSession, root: str, integrator_file: str, references: tuple[str, ...] | str | None = None, *, vocabulary: Vocabulary | None = None, ignore_case: bool = False, include_dynamic: bool = False, only: DataFrame | None = None) -> Contracts:
     """Contracts of the integrator and of the corpus below root. `only`: files (file) to look for callers in."""
     closure.shared_folder(spark)  # where checkpoints go

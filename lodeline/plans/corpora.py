@@ -445,8 +445,9 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the contract report over the hub corpus: sections, callers, operations and mappings, in order."""
     wanted = lambda x: reduce(or_, (F.startswith(x, F.lit(p)) for p in ("## ", "- operation: E", "- mapping: Id", "- class: ")))
-    blocks = report.contract_blocks(_contracts(spark, sf_dir))
-    return report.numbered(blocks.withColumn("lines", F.filter("lines", wanted))).select(F.col("place").cast("int").alias("place"), "line")
+    blocks, lists = report.contract_blocks(_contracts(spark, sf_dir))
+    only = lambda rows, *names: rows.withColumns({c: F.filter(c, wanted) for c in names})
+    return report.numbered(only(blocks, "lines", "tail"), only(lists, "lines")).select(F.col("place").cast("int").alias("place"), "line")
 
 
 def _contracts(spark: SparkSession, sf_dir: str) -> contracts.Contracts:

@@ -9,13 +9,13 @@ from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions import text
 from lodeline.operators import closure, rollup
+from lodeline.plans import contracts
 
 ORDER = {
     "odata_operations": ["tag_offset"], "data_sources": ["source_name", "tag_offset"], "integrator_mappings": ["product_name", "mapping_prefix"],
@@ -34,6 +34,8 @@ def _table(names: list[str], rows) -> list[str]:
 
 #: Order of a report's blocks; sections first, then what a section is ordered by.
 _PLACE = ["section", "rank", "name", "more", "at"]
+#: Bytes of lists of lines that are sent to every task, and lines of lists that a task gives.
+MOST_SENT, TASK_LINES = 32 << 20, 4_000_000
 
 
 def _escaped(c: Column) -> Column:
@@ -41,18 +43,19 @@ def _escaped(c: Column) -> Column:
     return F.translate(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\r\n`", "  '")
 
 
-def _block(rows: DataFrame, section: int, lines: Column, *, rank: Column | None = None, name: str | None = None, more: str | None = None, at: str | None = None) -> DataFrame:
+def _block(rows: DataFrame, section: int, lines: Column, *, products: str | None = None, tail: Column | None = None, rank: Column | None = None, name: str | None = None, more: str | None = None, at: str | None = None) -> DataFrame:
     key = lambda c, kind: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast(kind)
-    return rows.select(F.lit(section).alias("section"), key(rank, "long").alias("rank"), key(name, "string").alias("name"), key(more, "string").alias("more"), key(at, "long").alias("at"), lines.alias("lines"))
+    return rows.select(F.lit(section).alias("section"), key(rank, "long").alias("rank"), key(name, "string").alias("name"), key(more, "string").alias("more"), key(at, "long").alias("at"), lines.alias("lines"), key(products, "array<string>").alias("products"), (F.array() if tail is None else tail).cast("array<string>").alias("tail"))
 
 
 def _row(*cells: Column) -> Column:
     return F.array(F.concat(F.lit("| "), F.concat_ws(" | ", *map(_escaped, cells)), F.lit(" |")))
 
 
-def contract_blocks(made) -> DataFrame:
-    """The report of a contract as rows (section, rank, name, more, at, lines): headings, table rows and callers, each with
-    its lines. Operations and callers are in order of their place, diagnostics by severity."""
+def contract_blocks(made) -> tuple[DataFrame, DataFrame]:
+    """The report of a contract as rows (section, rank, name, more, at, lines, products, tail): headings, table rows and
+    callers, each with its lines; and rows (products, lines): the operations of callers, whose lines stand between a
+    block's lines and its tail. Operations and callers are in order of their place, diagnostics by severity."""
     spark = made.odata_operations.sparkSession
     ops = made.odata_operations.withColumn("request", F.concat_ws(" ", "action", text.joined_path(F.col("base_url"), F.col("api_path"))))
     cols = ["rule_name", "rule_class", "product_name", "phase_name", "classification", "disabled", "source_name", "request", "filter_expr", "request_group", "results_group", "output_group"]
@@ -65,63 +68,84 @@ def contract_blocks(made) -> DataFrame:
         (6, ["", "## Callers", ""]), (8, ["## Diagnostics", "", *head(told)]), (10, ["", "## Rule classes", "", *head(counted)]), (12, [""]),
     ]
     named = made.odata_operations.select(F.struct("integrator_file", "tag_offset").alias("operation"), F.col("rule_name").alias("calls"))
-    # Links and mappings of a caller come to it as sorted lists.
-    links = made.caller_operation_links.join(named, "operation").groupBy("reference").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "resolution_status", "calls"))).alias("calls"))
-    maps = made.caller_mappings.groupBy(F.struct("caller_file", "tag_offset").alias("reference")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "mapping_prefix", "direction", "solution_data_item", F.lit("<->"), "property_key"))).alias("maps"))
-    callers = made.caller_references.withColumn("reference", F.struct("caller_file", "tag_offset")).join(links, "reference", "left").join(maps, "reference", "left")
     said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    listed = lambda kind, c: F.transform(c, lambda x: said(f"- {kind}: ", _escaped(x)))
+    # Operations are sorted lists, one for all callers that name the same products; a caller's mappings come to it as one.
+    known, links = contracts.shared_links(made.caller_references, made.odata_operations)
+    lists = links.join(named, "operation").groupBy("products").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "resolution_status", "calls"))).alias("calls"))
+    lists = closure.kept(lists.select("products", listed("operation", F.col("calls")).alias("lines")), "lists")
+    known = known.join(lists.select("products"), "products", "left_semi")
+    maps = made.caller_mappings.groupBy(F.struct("caller_file", "tag_offset").alias("reference")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "mapping_prefix", "direction", "solution_data_item", F.lit("<->"), "property_key"))).alias("maps"))
+    callers = made.caller_references.withColumn("reference", F.struct("caller_file", "tag_offset")).withColumn("targets", contracts.targets()).join(known, "targets", "left").join(maps, "reference", "left")
     title = F.coalesce(*(F.when(_escaped(F.col(c)) != "", _escaped(F.col(c))) for c in ("rule_name", "rule_eid")), F.lit("Unnamed rule"))
     own = F.array(
         said("### ", title), F.lit(""), said("- file: `", _escaped(F.col("caller_file")), "` at byte ", F.col("tag_offset").cast("string")),
         said("- class: `", _escaped(F.col("rule_class")), "`, ", F.col("classification"), ", disabled: ", F.when(F.col("disabled"), "yes").otherwise("no")), said("- selector: `", _escaped(F.col("selector")), "`"),
     )
-    listed = lambda kind, c: F.transform(c, lambda x: said(f"- {kind}: ", _escaped(x)))
-    calls, mapped = F.coalesce("calls", F.array(F.lit("unresolved"))), F.coalesce("maps", F.array().cast("array<string>"))
+    own = F.when(F.col("products").isNull(), F.concat(own, F.array(F.lit("- operation: unresolved")))).otherwise(own)
+    mapped = F.coalesce("maps", F.array().cast("array<string>"))
     severity = rollup.ranked(F.col("severity"), ["ERROR", "WARNING"])
     blocks = [
-        spark.createDataFrame(heads, "section int, lines array<string>").transform(lambda d: d.select("section", *(F.lit(None).cast(t).alias(c) for c, t in zip(_PLACE[1:], ("long", "string", "string", "long"))), "lines")),
+        spark.createDataFrame(heads, "section int, lines array<string>").transform(lambda d: d.select("section", *(F.lit(None).cast(t).alias(c) for c, t in zip(_PLACE[1:], ("long", "string", "string", "long"))), "lines", F.lit(None).cast("array<string>").alias("products"), F.array().cast("array<string>").alias("tail"))),
         _block(ops, 1, _row(*(F.initcap(F.col(c).cast("string")) if c == "disabled" else F.col(c) for c in cols)), at="tag_offset"),
         _block(made.data_sources, 3, _row(*map(F.col, sources)), name="source_name", at="tag_offset"),
         _block(made.integrator_mappings, 5, _row(*map(F.col, maps_of)), name="product_name", more="mapping_prefix"),
-        _block(callers, 7, F.concat(own, listed("operation", calls), listed("mapping", mapped), F.array(F.lit(""))), name="caller_file", at="tag_offset"),
+        _block(callers, 7, own, products="products", tail=F.concat(listed("mapping", mapped), F.array(F.lit(""))), name="caller_file", at="tag_offset"),
         _block(made.diagnostics, 9, _row(*map(F.col, told.values())), rank=severity, name="file_path", at="tag_offset"),
         _block(made.rule_class_census, 11, _row(*map(F.col, counted.values())), rank=-F.col("occurrence_count"), name="rule_class"),
     ]
-    return reduce(DataFrame.unionByName, blocks)
+    return reduce(DataFrame.unionByName, blocks), lists
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a sorted partition with the partition's number and how many of its lines stand before them."""
     part, before = TaskContext.get().partitionId(), 0
     for b in batches:
-        n = pc.list_value_length(b["lines"]).to_numpy(zero_copy_only=False).astype("int64")
+        n = b["n"].to_numpy(zero_copy_only=False)
         upto = before + n.cumsum()
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(upto - n, pa.int64()), b["lines"]], names=["part", "first", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(upto - n, pa.int64()), *b.columns], names=["part", "first", *b.schema.names])
         before = int(upto[-1]) if len(n) else before
 
 
-def numbered(blocks: DataFrame) -> DataFrame:
+def numbered(blocks: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """(place, line) of all lines in the order of their blocks, from 0. Blocks are sorted in ranges and lines counted per
-    range; of each range one number comes to the driver, and no line does."""
+    range; of each range one number comes to the driver, and no line does.
+
+    lists: (products, lines), which blocks with these products have between their lines and their tail. Blocks are sorted
+    and numbered with the lengths of lists alone; the lines are laid out last, where they are read."""
     spark = blocks.sparkSession
+    if lists is None:
+        lists = spark.createDataFrame([], "products array<string>, lines array<string>")
+        blocks = blocks.select("*", F.lit(None).cast("array<string>").alias("products"), F.array().cast("array<string>").alias("tail"))
+    blocks = blocks.join(lists.select("products", F.size("lines").cast("long").alias("inner")), "products", "left").withColumn("inner", F.coalesce("inner", F.lit(0).cast("long")))
     # Kept, since finding the ranges reads the blocks once more.
-    blocks = closure.kept(blocks, "blocks")
+    blocks = closure.kept(blocks.withColumn("n", F.size("lines") + F.col("inner") + F.size("tail")), "blocks")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    in_order = blocks.repartitionByRange(width, *_PLACE).sortWithinPartitions(*_PLACE, "lines").select("lines")
-    parts = closure.kept(in_order.mapInArrow(_counted, "part int, first long, lines array<string>"), "lines")
-    sizes = dict(parts.groupBy("part").agg(F.sum(F.size("lines")).alias("n")).collect())
+    in_order = blocks.repartitionByRange(width, *_PLACE).sortWithinPartitions(*_PLACE, "lines", "tail").select("lines", "products", "tail", "inner", "n")
+    parts = closure.kept(in_order.mapInArrow(_counted, "part int, first long, lines array<string>, products array<string>, tail array<string>, inner long, n long"), "lines")
+    sizes = {r["part"]: r for r in parts.groupBy("part").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")).collect()}
     starts, at = [], 0
     for part in sorted(sizes):
         starts.append((part, at))
-        at += sizes[part]
+        at += sizes[part]["n"]
     base = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
-    rows = parts.join(base, "part").select((F.col("base") + F.col("first")).alias("start"), F.posexplode("lines").alias("k", "line"))
-    return rows.select((F.col("start") + F.col("k")).alias("place"), "line")
+    parts = parts.join(base, "part").withColumn("start", F.col("base") + F.col("first"))
+    ahead = F.size("lines")
+    own = parts.select("start", "inner", ahead.alias("ahead"), F.posexplode(F.concat("lines", "tail")).alias("k", "line"))
+    own = own.select((F.col("start") + F.col("k") + F.when(F.col("k") >= F.col("ahead"), F.col("inner")).otherwise(0)).alias("place"), "line")
+    inner = sum(r["inner"] for r in sizes.values())
+    if not inner:
+        return own
+    # Rows that stand for many lines each are dealt out evenly; lists go to them unless they are large.
+    dealt = parts.where("inner > 0").select((F.col("start") + ahead).alias("start"), "products").repartition(max(width, -(-inner // TASK_LINES)))
+    held = lists.agg(F.sum(F.length(F.concat_ws("", "products", "lines")))).first()[0] or 0
+    laid = dealt.join(F.broadcast(lists) if held <= MOST_SENT else lists, "products").select("start", F.posexplode("lines").alias("k", "line"))
+    return own.unionByName(laid.select((F.col("start") + F.col("k")).alias("place"), "line"))
 
 
 def contract_lines(made) -> Iterator[str]:
     """The lines of the Markdown report, some at a time."""
-    return (r["line"] for r in numbered(contract_blocks(made)).orderBy("place").toLocalIterator())
+    return (r["line"] for r in numbered(*contract_blocks(made)).orderBy("place").toLocalIterator())
 
 
 def contracts_markdown(made) -> str:

@@ -95,6 +95,36 @@ def test_scenarios_share_an_expansion(spark):
     assert "Scenario supports" in got[3]["error"]
 
 
+@pytest.mark.parametrize("products", [("Alpha", "Beta"), ("Alpha",), ()])
+def test_report_lays_shared_operations_out_last(spark, monkeypatch, products):
+    rule = lambda p, k: f'<Rule Name="{p} {k}" eid="{p}{k}" RuleClassName="x.InvokeIRISRule" ResourcePath="/{k}" IRISAction="GET"/>'
+    hub = "".join(f'<Product Name="{p}"><Phase Name="Go">{"".join(rule(p, k % 9) for k in range(10))}</Phase></Product>' for p in products)
+    named = ["alpha", "Beta;ALPHA", "x/beta", "alpha,Nowhere", "Nowhere", "", "alpha", "beta|beta"] * 3
+    calls = "".join(f'<Rule Name="C{k}" RuleClassName="x.CallComponentRule" SelectComponent="lib/Hub.ifp" ComponentList="{n}" I_SolutionDataItemMapping="D.I" I_PropertyKey="I" I_In="Y"/>' for k, n in enumerate(named))
+    files = [("lib/Hub.ifp", f"<Project><Products>{hub}</Products></Project>"), ("c/A.ifp", f"<Project><Rules>{calls}</Rules></Project>")]
+    made = contracts.build(spark, spark.createDataFrame(files, "file string, text string").selectExpr("file", "encode(text, 'utf-8') AS content"), "Hub.ifp")
+    names = {r["tag_offset"]: r["rule_name"] for r in made.odata_operations.collect()}
+    pairs = [(r["reference"]["tag_offset"], f"{r['resolution_status']} {names[r['operation']['tag_offset']]}") for r in made.caller_operation_links.collect()]
+    want = []
+    for c in sorted(made.caller_references.collect(), key=lambda r: r["tag_offset"]):
+        want += [f"### {c['rule_name']}", *(f"- operation: {x}" for x in sorted(x for at, x in pairs if at == c["tag_offset"]) or ["unresolved"]), "- mapping: I INPUT D.I <-> I"]
+    assert len(pairs) == {2: 210, 1: 150, 0: 0}[len(products)]
+    kept = {}
+
+    def seen(rows, name, keep=report.closure.kept):
+        kept[name] = keep(rows, name)
+        return kept[name]
+
+    monkeypatch.setattr(report.closure, "kept", seen)
+    for sent, lines in ((1 << 20, 1000), (-1, 7)):
+        monkeypatch.setattr(report, "MOST_SENT", sent)
+        monkeypatch.setattr(report, "TASK_LINES", lines)
+        text = report.contracts_markdown(made).split("\n")
+        assert [x for x in text if x.startswith(("### ", "- operation: ", "- mapping: "))] == want and text[-1] == "" and text.index("## Diagnostics") > text.index(want[-1])
+        # No table that is written holds an operation once per caller.
+        assert not [x for n in ("blocks", "lines") for r in kept[n].collect() for x in r["lines"] if x.startswith("- operation: ") and not x.endswith("unresolved")]
+
+
 def test_config_extends_and_rejects():
     v = vocabulary({"api_rule_classes": ["x.HouseApi"], "attribute_aliases": {"path": ["Weg"]}, "api_rule_attribute_overrides": {"HouseApi": {"path": ["Pfad"]}}, "method_by_rule_class": {"x.HouseApi": "put"}})
     assert v.api_match("y.houseapi") == {"match": "suffix", "key": "houseapi"} and v.names("path", "HouseApi")[0] == "Pfad" and v.names("path")[-1] == "Weg"
