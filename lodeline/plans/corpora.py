@@ -451,7 +451,9 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contracts(spark: SparkSession, sf_dir: str) -> contracts.Contracts:
-    return contracts.build(spark, closure.kept(hub(spark, sf_dir), "hub"), "Hub.ifp", include_dynamic=True)
+    # Dealt out row by row, since a task lexes whole files: by their nation's hash some tasks get many more.
+    files = hub(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+    return contracts.build(spark, closure.kept(files, "hub"), "Hub.ifp", include_dynamic=True)
 
 
 def contract_operations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def numbered(blocks: DataFrame, lists: DataFrame | None = None) -> DataFrame:
         blocks = blocks.select("*", F.lit(None).cast("array<string>").alias("products"), F.array().cast("array<string>").alias("tail"))
     blocks = blocks.join(lists.select("products", F.size("lines").cast("long").alias("inner")), "products", "left").withColumn("inner", F.coalesce("inner", F.lit(0).cast("long")))
     # Kept, since finding the ranges reads the blocks once more.
-    blocks = closure.kept(blocks.withColumn("n", F.size("lines") + F.col("inner") + F.size("tail")), "blocks")
+    blocks = closure.kept(blocks.withColumn("n", F.size("lines") + F.col("inner") + F.size("tail")).where("n > 0"), "blocks")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_order = blocks.repartitionByRange(width, *_PLACE).sortWithinPartitions(*_PLACE, "lines", "tail").select("lines", "products", "tail", "inner", "n")
     parts = closure.kept(in_order.mapInArrow(_counted, "part int, first long, lines array<string>, products array<string>, tail array<string>, inner long, n long"), "lines")

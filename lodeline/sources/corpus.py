@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -152,7 +153,7 @@ def tags(contents: DataFrame, *, names: tuple[str, ...] | None = None, vocabular
     """
     wanted = vocabulary.keeps if vocabulary is not None else (lambda _: True)
 
-    def rows(file: str, content: bytes) -> Iterator[tuple]:
+    def rows(file: str, content: bytes, wanted: Callable[[str], bool]) -> Iterator[tuple]:
         inside = Enclosure()
         try:
             for k, t in enumerate(lexer.tags(content, names=names, wanted=wanted, references=references, ignore_case=ignore_case)):
@@ -170,10 +171,12 @@ def tags(contents: DataFrame, *, names: tuple[str, ...] | None = None, vocabular
             yield file, -1, None, 0, 0, 0, False, False, [], [], [], [], str(e), None, 0, None, None, None, False, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Names come again with every tag; those seen last are remembered.
+        asked = lru_cache(4096)(wanted)
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"]):
                 part = []
-                for row in rows(file, bytes(content)):
+                for row in rows(file, bytes(content), asked):
                     part.append(row)
                     if len(part) >= 5000:
                         yield pd.DataFrame(part, columns=TAG.names)
